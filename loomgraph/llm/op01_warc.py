@@ -21,6 +21,7 @@ has ``ok`` false and a reason, and no payload.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -129,22 +130,26 @@ def parse(data: bytes) -> Iterator[tuple]:
         at = end + 4 + n + 4
 
 
+def unpacked(content: bytes) -> bytes:
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row per record, segments apart."""
-    import gzip
-
     names = [x.split()[0] for x in RECORD.split(",")]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
-                rows = list(parse(data))
+                rows = list(parse(unpacked(content)))
                 for i in range(0, len(rows), 1000):
                     yield pd.DataFrame(rows[i : i + 1000], columns=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInPandas(walk, RECORD)
+    return _files(spark, path).mapInPandas(walk, RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -201,33 +206,58 @@ def _payload(block: bytes, revisit: bool) -> tuple[bytes | None, int, str | None
     return body, len(body), None
 
 
-def payloads(records: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Decoded payloads: record columns, payload_bytes, payload (null for revisits), checked digests."""
-    schema = "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, ok boolean, reason string" + ", payload binary" * with_payload
+_OUT = "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, ok boolean, reason string"
+
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decoded(rid, kind, refers, digest, block, ok, reason) -> tuple:
+    """_OUT's columns of a whole record, then its payload (None for revisits)."""
+    body, n = None, 0
+    if ok:
+        body, n, reason = _payload(bytes(block), kind == "revisit")
+        digest = digest.removeprefix("sha1:") if digest else None
+        if body is not None:
+            own = base64.b32encode(hashlib.sha1(body).digest()).decode()
+            if digest is not None and own != digest:
+                body, reason = None, "wrong digest"
+            digest = own
+    return rid, kind, refers, digest, n, reason is None, reason, body
+
+
+def read_payloads(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """Decoded records: _OUT's columns and, if asked for, ``payload``.
+
+    Archives are parsed once. Whole records are decoded as they are met; only
+    segments keep their bytes until they are put together.
+    """
+    more = ", payload binary" * with_payload
+    names = [x.split()[0] for x in (_OUT + more).split(", ")]
+    kept = f"{_OUT}{more}, origin_id string, segment int, total_length long, block binary"
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                rows = []
+                for rid, kind, refers, digest, origin, segment, total, _, block in parse(unpacked(content)):
+                    if segment:
+                        rows.append((rid, kind, refers, digest, None, None, None, *([None] * with_payload), origin, segment, total, block))
+                    else:
+                        rows.append((*_decoded(rid, kind, refers, digest, block, True, None)[: len(names)], None, 0, None, None))
+                yield pd.DataFrame(rows, columns=[*names, "origin_id", "segment", "total_length", "block"]).astype({"payload_bytes": "Int64", "total_length": "Int64"})
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for rid, kind, refers, digest, block, ok, reason in b[["record_id", "record_type", "refers_to", "payload_digest", "block", "ok", "reason"]].itertuples(index=False):
-                body, n = None, 0
-                if ok:
-                    body, n, reason = _payload(bytes(block), kind == "revisit")
-                    digest = digest.removeprefix("sha1:") if digest else None
-                    if body is not None:
-                        own = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                        if digest is not None and own != digest:
-                            body, reason = None, "wrong digest"
-                        digest = own
-                rows.append((rid, kind, refers, digest, n, reason is None, reason, *([body] * with_payload)))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return records.mapInPandas(decode, schema)
+            columns = b[["record_id", "record_type", "refers_to", "payload_digest", "block", "ok", "reason"]]
+            yield pd.DataFrame([_decoded(*r)[: len(names)] for r in columns.itertuples(index=False)], columns=names)
+
+    found = materialise(_files(spark, path).mapInPandas(first, kept), "warc-records")
+    segmented = reassemble(found.where("segment > 0")).mapInPandas(again, _OUT + more)
+    return found.where("segment = 0").select(names).unionByName(segmented)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    found = payloads(reassemble(read(spark, path)), with_payload=False)
+    found = read_payloads(spark, path, with_payload=False)
 
     def page(record_id: str) -> Column:
         return F.regexp_extract(record_id, r"^<urn:record:(-?\d*):", 1).try_cast("long")

@@ -81,8 +81,7 @@ def _majority(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-@F.arrow_udf(LongType())
-def _fingerprint(hashes: pa.Array) -> pa.Array:
+def _fingerprints(hashes: pa.Array) -> pa.Array:
     offsets = hashes.offsets.to_numpy().astype(np.int64)
     values = hashes.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
     return pa.array(_majority(values.astype(np.int64), offsets - offsets[0]).view(np.int64))
@@ -90,7 +89,7 @@ def _fingerprint(hashes: pa.Array) -> pa.Array:
 
 def fingerprint(text: Column, size: int = SHINGLE) -> Column:
     """The 64-bit fingerprint of a text, as a signed long."""
-    return _fingerprint(shingle_hashes(text, size))
+    return F.arrow_udf(_fingerprints, LongType())(shingle_hashes(text, size))
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ WARC_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS m FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-  list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + CAST((CAST('0x' || substr(s, 1 + 10 * (i // 8), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id < m THEN m END AS refers_to, true AS ok
@@ -41,8 +41,8 @@ def rules_sql() -> str:
     bands = " + ".join(f"(n_words >= {b})::INT" for b in rules.BANDS[1:])
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), x -> x <> '') AS w,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \x09-\x0D]')) AS l FROM t),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) AS l FROM t),
 v AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM
   (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w))),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS p FROM v WHERE c > 1) GROUP BY doc_id),
@@ -55,7 +55,7 @@ g AS (SELECT f.* FROM f JOIN (SELECT doc_id, min(quality) AS q FROM labels WHERE
 k AS (SELECT stratum, signal, cutoff, count(*) AS n, count(*) FILTER (WHERE {value} > cutoff) AS k
   FROM g, (VALUES {cells}) c(signal, cutoff) GROUP BY stratum, signal, cutoff),
 p AS (SELECT *, CASE WHEN k >= n * {risk} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
-  i -> exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END <= {level} AS passed FROM k),
+  lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END <= {level} AS passed FROM k),
 c AS (SELECT stratum, signal, min(cutoff) AS cutoff FROM (SELECT *, bool_and(passed) OVER (PARTITION BY stratum, signal ORDER BY cutoff DESC) AS so_far FROM p) WHERE so_far GROUP BY stratum, signal)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (SELECT 1 FROM c WHERE c.stratum = f.stratum AND {value} > c.cutoff) AS kept FROM f
