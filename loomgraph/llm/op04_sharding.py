@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,19 +82,21 @@ def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     ends, n_buckets = np.cumsum(matrix, axis=1), min(BUCKETS, max(1, -(-total // (shards * BUCKET_ROWS))))
     order = {int(p): i for i, p in enumerate(parts)}
 
-    @F.pandas_udf("int")
-    def deal(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    dealt_schema = numbered.withColumn(shard, F.lit(0)).schema
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, np.ndarray] = (-1, np.empty(0, np.int64))
-        for p, i in batches:
+        for b in batches:
+            p, i = (b.column(dealt_schema.names.index(x)).to_numpy() for x in (part, at))
             out = np.empty(len(p), np.int32)
-            for v in pd.unique(p):
+            for v in np.unique(p):
                 if held[0] != v:  # one permutation of row numbers at a time
                     held = (v, np.random.default_rng([seed, int(v)]).permutation(counts[order[int(v)]]))
-                mine = (p == v).to_numpy()
-                out[mine] = np.searchsorted(ends[order[int(v)]], held[1][i.to_numpy()[mine]], side="right")
-            yield pd.Series(out)
+                mine = p == v
+                out[mine] = np.searchsorted(ends[order[int(v)]], held[1][i[mine]], side="right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=dealt_schema.names)
 
-    dealt = numbered.withColumn(shard, deal(part, at)).withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), place), F.lit(n_buckets)).cast("int"))
+    dealt = numbered.mapInArrow(deal, dealt_schema).withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), place), F.lit(n_buckets)).cast("int"))
     dealt = dealt.withColumn(key, F.xxhash64(F.lit(seed + 1), place))
     dealt = materialise(dealt.drop(part, at), "shard-dealt")
     sizes = {(r[0], r[1]): r[2] for r in dealt.groupBy(shard, bucket).count().collect()}

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -205,9 +204,5 @@ def sample_pieces(df: DataFrame, keys: list[str], text: str, k: int = SAMPLES, s
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of every turn of ``conversations``, the table for instruction data."""
 
-    @F.pandas_udf("long")
-    def ids_crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids])
-
     found = sample_pieces(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
-    return found.select("conv_id", "turn", "sample", F.size("ids").alias("n_pieces"), ids_crc("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion", F.crc32("decoded").alias("decoded_crc32"))
+    return found.select("conv_id", "turn", "sample", F.size("ids").alias("n_pieces"), F.crc32(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary")).alias("ids_crc32"), "log_prob", "perturbed", "inclusion", F.crc32("decoded").alias("decoded_crc32"))

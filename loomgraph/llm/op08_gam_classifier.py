@@ -18,10 +18,11 @@ get a score; a document with several labels counts as their minimum.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,12 +180,20 @@ def train(counted: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     return fit(rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy(float))
 
 
-def scorer(model: Model):
-    @F.pandas_udf("double")
-    def score(*columns: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.column_stack([c.to_numpy(float) for c in columns])))
+def scored(df: DataFrame, s: str, model: Model, name: str, least: float | None = None) -> DataFrame:
+    """``df`` with its struct of counts ``s`` replaced by the score ``name``; only
+    rows that reach ``least``, if given. Other columns pass through Arrow untouched."""
+    kept = [c for c in df.columns if c != s]
+    own = [f"{s}_{x}" for x in FEATURES]
+    schema = df.select(*kept, F.lit(0.0).alias(name)).schema
 
-    return score
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = model.score(np.column_stack([b.column(len(kept) + i).to_numpy(zero_copy_only=False) for i in range(len(own))]))
+            out = pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(values)], names=schema.names)
+            yield out if least is None else out.filter(pa.array(values >= least))
+
+    return df.select(*kept, *(f.alias(n) for f, n in zip(features(F.col(s)), own))).mapInArrow(run, schema)
 
 
 def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", cutoff: float = CUTOFF) -> DataFrame:
@@ -192,13 +201,12 @@ def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc
     ids = labels.where(F.col("quality").isNotNull()).select(key).distinct()
     model = train(docs.join(ids, key, "left_semi").select(key, stats(text_of(text)).alias("s")), labels, key)
     s, score = fresh("s", docs), fresh("score", docs)
-    inner = docs.withColumn(s, stats(text_of(text)))
-    return inner.withColumn(score, scorer(model)(*features(F.col(s)))).where(F.col(score) >= cutoff).drop(s, score)
+    return scored(docs.withColumn(s, stats(text_of(text))), s, model, score, cutoff).drop(score)
 
 
 def op8_gam_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", stats(text_of("text")).alias("s"))
     counted = materialise(docs, "gam-counts")
     model = train(counted, table(spark, sf_dir, "labels"))
-    scored = counted.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), scorer(model)(*features(F.col("s"))).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))
+    found = scored(counted.withColumn("held_out", ~learnable(F.col("doc_id"))), "s", model, "score")
+    return found.withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))

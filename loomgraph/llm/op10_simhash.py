@@ -34,7 +34,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from loomgraph.llm.textstats import let, text_of, words
 from loomgraph.operators.components import components
@@ -81,15 +80,23 @@ def _majority(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _fingerprints(hashes: pa.Array) -> pa.Array:
+def _fingerprints(hashes: pa.ListArray) -> pa.Array:
     offsets = hashes.offsets.to_numpy().astype(np.int64)
     values = hashes.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
     return pa.array(_majority(values.astype(np.int64), offsets - offsets[0]).view(np.int64))
 
 
-def fingerprint(text: Column, size: int = SHINGLE) -> Column:
-    """The 64-bit fingerprint of a text, as a signed long."""
-    return F.arrow_udf(_fingerprints, LongType())(shingle_hashes(text, size))
+def with_fingerprint(df: DataFrame, text: Column, name: str, size: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with the 64-bit fingerprint of ``text``, as a signed long, in column ``name``."""
+    keep = df.columns if keep is None else keep
+    schema = df.select(*keep, F.lit(0).cast("long").alias(name)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [*b.columns[:-1], _fingerprints(b.columns[-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.select(*keep, shingle_hashes(text, size).alias(name)).mapInArrow(run, schema)
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -195,7 +202,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """(key, fingerprint as long ``fp``, ``component_id``) for every row."""
-    marked = materialise(docs.select(F.col(key).alias("key"), fingerprint(text_of(text), size).alias("fp")), "simhash-fingerprints")
+    marked = materialise(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), text_of("text"), "fp", size, keep=["key"]), "simhash-fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("key").alias("rep")), "simhash-nodes")
     found = materialise(links(nodes.select("fp"), bucket), "simhash-links")
     grouped = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -217,7 +224,7 @@ def keep(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     firsts = docs.join(chosen, key, "left_semi").dropDuplicates([key]).select(docs.columns)
     fp = fresh("fp", docs)
     alone = held.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp)).distinct()
-    nameless = docs.where(F.col(key).isNull()).withColumn(fp, fingerprint(text_of(text)))
+    nameless = with_fingerprint(docs.where(F.col(key).isNull()), text_of(text), fp)
     return firsts.union(nameless.join(alone, fp, "left_semi").dropDuplicates([fp]).select(docs.columns))
 
 
