@@ -69,6 +69,7 @@ def _spread(state: DataFrame, edges: DataFrame, weight: Column) -> DataFrame:
 
 
 def _seeded(ids: DataFrame, edges: DataFrame, seeds: list, iterations: int, start: float, teleport: float, keep: float) -> DataFrame:
+    edges = materialise(edges, "seeded-edges")
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
     seed = F.col("id").isin(seeds)
     base = materialise(ids.join(out, ids["id"] == out["src"], "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"), F.when(seed, start).otherwise(0.0).alias("value"), F.when(seed, teleport).otherwise(0.0).alias("back")), "seeded")
@@ -98,6 +99,7 @@ def sybilrank(ids: DataFrame, edges: DataFrame, seeds: list) -> DataFrame:
 
 def weighted_pagerank(ids: DataFrame, edges: DataFrame, iterations: int = 20) -> DataFrame:
     """(id, rank): shares of an edge's weight in its source's total out-weight."""
+    edges = materialise(edges, "wrank-edges")
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     state = materialise(ids.join(out, ids["id"] == out["src"], "left").select("id", F.coalesce("total", F.lit(0.0)).alias("deg")), "wrank")
     n = max(state.count(), 1)
@@ -111,6 +113,7 @@ def weighted_pagerank(ids: DataFrame, edges: DataFrame, iterations: int = 20) ->
 
 def hits(ids: DataFrame, edges: DataFrame, iterations: int = 20, delta: float = 1e-9) -> DataFrame:
     """(id, authority, hub), each of unit length."""
+    edges = materialise(edges.select("src", "dst"), "hits-edges")
     now = materialise(ids.select("id", F.lit(1.0).alias("authority"), F.lit(1.0).alias("hub")), "hits")
     for _ in range(iterations):
         a = edges.join(now.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a"))
@@ -134,6 +137,7 @@ def distances(edges: DataFrame, roots: DataFrame, max_rounds: int = 1 << 20, per
 
     Unreached vertices have no row. Only improved vertices send messages.
     """
+    edges = materialise(edges, "dist-edges")
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
     keys = ["root", "id"] if per_root else ["id"]
     best = materialise(roots.select(*([F.col("id").alias("root")] if per_root else []), "id", F.lit(0.0).alias("dist")).distinct(), "dist")
