@@ -33,6 +33,8 @@ from loomgraph.plans.storage import table
 BITS, ORDERS = 16, 3
 FIT_PER_LANG, HELD_SHARE = 600, 0.2
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 2e-4, 1e-4, 4
+#: Parts of a language when its sample is drawn.
+SALTS = 64
 #: Code points handled at a time.
 PIECE = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
@@ -159,8 +161,12 @@ def learnable(key: Column) -> Column:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     own = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where(learnable(F.col("k")) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    chosen = own.select("k", "l").withColumn("r", rank).where(F.col("r") <= FIT_PER_LANG).select("k", "l").distinct()
+    # A language may hold most rows: the first ranking splits each into SALTS parts, the second sees few rows.
+    order = [F.xxhash64("k"), F.col("k")]
+    part = F.row_number().over(Window.partitionBy("l", "s").orderBy(*order))
+    few = own.select("k", "l", F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(SALTS)).alias("s")).withColumn("r", part).where(F.col("r") <= FIT_PER_LANG)
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(*order))
+    chosen = few.select("k", "l").withColumn("r", rank).where(F.col("r") <= FIT_PER_LANG).select("k", "l").distinct()
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
