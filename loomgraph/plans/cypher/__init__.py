@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 
 from loomgraph.plans.cypher.compiler import Compiler
 from loomgraph.plans.cypher.parser import CypherError, parse
+from loomgraph.plans.cypher.writer import execute
 
-__all__ = ["CypherError", "parse", "run"]
+__all__ = ["CypherError", "execute", "parse", "run"]
 
 
 def run(graph, text: str, params: dict) -> DataFrame:

@@ -13,23 +13,25 @@ null counts as false, ``sum`` is a double and 0.0 of nothing, ``max`` and
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions import series as series_functions
 from loomgraph.functions.scalars import FUNCTIONS, cut, index, to_string
 from loomgraph.operators import procedures
-from loomgraph.plans.cypher.parser import Clause, CypherError, Node, Path, Rel
+from loomgraph.plans.cypher.parser import UPDATES, Clause, CypherError, Node, Path, Rel
 from loomgraph.plans.graph import SchemaError
 
 #: Hops of an unbounded pattern.
 MAX_HOPS = 128
 AGGREGATES = frozenset("count sum avg max min collect percentilecont percentiledisc stdev stdevp variance variancep group_concat".split())
 
+RANKS = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number, "percent_rank": F.percent_rank, "cume_dist": F.cume_dist}
+
 
 @dataclass
 class Var:
@@ -88,6 +90,8 @@ class Compiler:
                 df, env = self.call(df, env, c)
                 if i == len(clauses) - 1:
                     return df.select(*(self.col(v.column).alias(k) for k, v in env.items()))
+            elif c.kind in UPDATES:
+                raise CypherError(f"{c.kind.upper()} changes the graph; use Graph.execute")
             else:
                 df, env = self.project(df, env, c)
                 if c.kind == "return":
@@ -123,7 +127,8 @@ class Compiler:
 
     # -- patterns -----------------------------------------------------------
     def match(self, df: DataFrame | None, env: Env, c: Clause) -> tuple[DataFrame, Env]:
-        pattern, own, shared, where = self.pattern(c.data["paths"], c.data["where"], env)
+        paths, conditions = self.outer_props(c.data["paths"], c.data["where"])
+        pattern, own, shared, where = self.pattern(paths, conditions, env)
         scope = {**env, **{k: v for k, v in own.items() if k not in env}}
         if df is None:
             df = pattern
@@ -144,6 +149,22 @@ class Compiler:
             df = self.apply_where(df, w, scope)
         return df, scope
 
+    def outer_props(self, paths: list[Path], where: tuple | None) -> tuple[list[Path], tuple | None]:
+        """Inline properties that read other variables become conditions."""
+        out = []
+        for p in paths:
+            parts = []
+            for x in p.parts:
+                moved = [(k, e) for k, e in x.props if self.free(e)]
+                if moved and getattr(x, "hops", None) is None:
+                    x = replace(x, var=x.var or self.new("anon"), props=tuple(q for q in x.props if q not in moved))
+                    for k, e in moved:
+                        test = ("op", "=", ("prop", ("var", x.var), k), e)
+                        where = test if where is None else ("op", "AND", where, test)
+                parts.append(x)
+            out.append(replace(p, parts=tuple(parts)))
+        return out, where
+
     def filtered(self, df: DataFrame, where: list, env: Env) -> DataFrame:
         for w in where:
             df = self.apply_where(df, w, env)
@@ -593,6 +614,8 @@ class Compiler:
 
     # -- expressions --------------------------------------------------------
     def has_aggregate(self, e: object) -> bool:
+        if isinstance(e, tuple) and e and e[0] == "window":
+            return False
         return isinstance(e, tuple) and (len(e) > 2 and e[0] == "fn" and e[1] in AGGREGATES or any(self.has_aggregate(x) for x in e))
 
     def free(self, e: object, bound: frozenset = frozenset()) -> set[str]:
@@ -710,10 +733,27 @@ class Compiler:
             return F.exists(xs, test) if name == "any" else ~F.exists(xs, test)
         if kind == "op":
             return self.operator(e, env, df)
+        if kind == "window":
+            return self.window(e, env, df)
         if kind == "fn":
             return self.function(e, env, df)
         raise CypherError(f"cannot plan {kind}")
 
+    def window(self, e: tuple, env: Env, df: DataFrame | None) -> Column:
+        _, call, parts, orders = e
+        keys = [self.expr(x, env, df) for _, x, _ in orders[1:]]
+        by = [k.desc_nulls_last() if o[2] else k.asc_nulls_first() for k, o in zip(keys, orders[1:])]
+        w = Window.partitionBy(*(self.expr(x, env, df) for x in parts[1:]))
+        w = w.orderBy(*by) if by else w
+        name = call[1]
+        if name in RANKS:
+            return RANKS[name]().over(w)
+        if call[3] or name not in ("count", "sum", "avg", "max", "min", "collect"):
+            raise CypherError(f"{name} is no window function")
+        if name == "sum":
+            return F.coalesce(F.sum(self.expr(call[2][0], env, df).cast("double")).over(w), F.lit(0.0))
+        return self.agg(call, env, df).over(w)
+
     def case(self, e: tuple, env: Env, df: DataFrame | None) -> Column:
         _, subject, branches, other = e
         out = None

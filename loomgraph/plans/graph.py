@@ -218,3 +218,9 @@ class Graph:
         return run(self, text, dict(params or {}))
 
     gql = cypher
+
+    def execute(self, text: str, params: Mapping[str, object] | None = None) -> tuple[Graph, DataFrame]:
+        """Run text that may change data: the new graph and what RETURN gives, or a summary."""
+        from loomgraph.plans.cypher import execute
+
+        return execute(self, text, dict(params or {}))

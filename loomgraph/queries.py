@@ -73,6 +73,10 @@ def _cypher(text: str, graph: Callable = trade_graph) -> Callable[[SparkSession,
     return lambda spark, sf_dir: graph(spark, sf_dir).cypher(text)
 
 
+def _write(change: str, read: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: trade_graph(spark, sf_dir).execute(change)[0].cypher(read)
+
+
 #: Name: query text over the trade graph, SQL.
 CYPHER = {
     "pattern_orders_by_nation": (
@@ -173,6 +177,40 @@ CYPHER = {
     ),
 }
 
+CYPHER["window_functions"] = (
+    "MATCH (c:Customer) RETURN c.c_custkey AS c, rank() OVER (PARTITION BY c.c_nationkey ORDER BY c.c_acctbal DESC) AS r, count(*) OVER (PARTITION BY c.c_nationkey) AS n, max(c.c_acctbal) OVER (PARTITION BY c.c_mktsegment) AS hi",
+    "SELECT c_custkey AS c, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS INTEGER) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n, max(c_acctbal) OVER (PARTITION BY c_mktsegment) AS hi FROM customer",
+)
+
+#: Name: text that changes the trade graph, text that reads the new graph, SQL.
+WRITES = {
+    "write_create": (
+        "MATCH (n:Nation) WHERE n.n_nationkey < 3 CREATE (n)-[:IN_REGION]->(r:Region {r_regionkey: n.n_nationkey + 100, r_name: n.n_name})",
+        "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS nation, r.r_name AS region",
+        "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, n_name FROM nation WHERE n_nationkey < 3",
+    ),
+    "write_set": (
+        "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) WHERE c.c_mktsegment = 'BUILDING' SET c.c_acctbal = -1.0, c.c_name = n.n_name",
+        "MATCH (c:Customer) RETURN c.c_custkey AS c, c.c_name AS name, c.c_acctbal AS bal",
+        "SELECT c_custkey AS c, CASE WHEN c_mktsegment = 'BUILDING' THEN n_name ELSE c_name END AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN -1.0 ELSE c_acctbal END::DOUBLE AS bal FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
+    ),
+    "write_remove": (
+        "MATCH (p:Part) WHERE p.p_size > 25 REMOVE p.p_brand",
+        "MATCH (p:Part) RETURN p.p_partkey AS p, p.p_brand AS brand",
+        "SELECT p_partkey AS p, CASE WHEN p_size > 25 THEN NULL ELSE p_brand END AS brand FROM part",
+    ),
+    "write_delete": (
+        "MATCH (n:Nation) WHERE n.n_regionkey = 1 DETACH DELETE n",
+        "MATCH (c:Customer) OPTIONAL MATCH (c)-[:LIVES_IN]->(n:Nation) RETURN c.c_custkey AS c, n.n_name AS nation",
+        "SELECT c_custkey AS c, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 1",
+    ),
+    "write_merge": (
+        "MATCH (o:Orders)<-[:PLACED]-(b:Customer) WHERE o.o_totalprice > 1000 MERGE (c:Customer {c_custkey: o.o_custkey * 2}) ON CREATE SET c.c_name = 'new' ON MATCH SET c.c_name = 'old'",
+        "MATCH (c:Customer) RETURN c.c_custkey AS c, c.c_name AS name",
+        "WITH k AS (SELECT DISTINCT o_custkey * 2 AS k FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000) SELECT c_custkey AS c, CASE WHEN c_custkey IN (SELECT k FROM k) THEN 'old' ELSE c_name END AS name FROM customer UNION ALL SELECT k, 'new' FROM k WHERE k NOT IN (SELECT c_custkey FROM customer)",
+    ),
+}
+
 #: The same over users and their series.
 SERIES = {
     "series_count": ("MATCH (u:User) RETURN u.user_id AS u, series.count(u, 'readings') AS n", f"WITH {S_SQL} SELECT user_id AS u, count(*) AS n FROM s GROUP BY user_id"),
@@ -297,8 +335,8 @@ ALGORITHMS: dict[str, tuple[Callable, str | None]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _cypher(v[0]) for k, v in CYPHER.items()} | {k: _cypher(v[0], event_graph) for k, v in SERIES.items()} | {k: v[0] for k, v in ALGORITHMS.items()}
+    return {k: _cypher(v[0]) for k, v in CYPHER.items()} | {k: _write(v[0], v[1]) for k, v in WRITES.items()} | {k: _cypher(v[0], event_graph) for k, v in SERIES.items()} | {k: v[0] for k, v in ALGORITHMS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1] for k, v in (CYPHER | SERIES | ALGORITHMS).items() if v[1]}
+    return {k: v[1] for k, v in (CYPHER | SERIES | ALGORITHMS).items() if v[1]} | {k: v[2] for k, v in WRITES.items()}
