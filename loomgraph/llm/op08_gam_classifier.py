@@ -196,10 +196,16 @@ def scored(df: DataFrame, s: str, model: Model, name: str, least: float | None =
     return df.select(*kept, *(f.alias(n) for f, n in zip(features(F.col(s)), own))).mapInArrow(run, schema)
 
 
-def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the cutoff."""
+def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", cutoff: float = CUTOFF, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the cutoff.
+
+    The model learns from the labelled rows of ``learn_from``, or of ``docs``.
+    Behind another filter ``docs`` may hold one label only, which teaches
+    nothing; the unfiltered table belongs in ``learn_from`` then.
+    """
     ids = labels.where(F.col("quality").isNotNull()).select(key).distinct()
-    model = train(docs.join(ids, key, "left_semi").select(key, stats(text_of(text)).alias("s")), labels, key)
+    source = docs if learn_from is None else learn_from
+    model = train(source.join(ids, key, "left_semi").select(key, stats(text_of(text)).alias("s")), labels, key)
     s, score = fresh("s", docs), fresh("score", docs)
     return scored(docs.withColumn(s, stats(text_of(text))), s, model, score, cutoff).drop(score)
 

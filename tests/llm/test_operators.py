@@ -296,6 +296,11 @@ def test_gam_on_documents(spark, docs):
     kept = {r["doc_id"] for r in gam.keep(more.withColumn("score", F.lit(0)), labels).select("doc_id").collect()}
     assert kept >= {r[0] for r in good} and not kept & {r[0] for r in bad}
     assert gam.keep(empty(docs), empty(labels)).columns == docs.columns
+    # Input whose labels are all 1 teaches nothing; the unfiltered table does.
+    later = more.where(F.col("doc_id") >= 1030)
+    known = labels.where("doc_id < 1030 or quality = 1")
+    taught = {r["doc_id"] for r in gam.keep(later, known, learn_from=more).select("doc_id").collect()}
+    assert taught == {r[0] for r in good} and gam.keep(later, known).count() == later.count()
 
 
 def test_language(spark):
