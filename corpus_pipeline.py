@@ -16,7 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op08_gam_classifier.keep(docs, table(spark, sf_dir, "labels"))
+    """Learns from the raw documents: what the rules kept holds almost no bad label."""
+    return op08_gam_classifier.keep(docs, table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
