@@ -1,0 +1,78 @@
+"""The chain of the pipeline against brute force, near copies included."""
+
+import random
+import zlib
+
+import pytest
+
+import corpus_pipeline
+from loomgraph.llm import near_copies
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def alike(x, y):
+    a, b = shingles(x), shingles(y)
+    return x.lower().split() == y.lower().split() or bool(a) and bool(b) and 5 * len(a & b) >= 4 * len(a | b)
+
+
+def first_ids(rows):
+    """The least id of each component of similar texts, by all pairs."""
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(rows[i][1], rows[j][1]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(k, least.get(find(i), k))
+    return sorted(least.values())
+
+
+def changed(rng, words, n):
+    """``words`` with n of them replaced, far from each other."""
+    out = list(words)
+    for p in range(n):
+        out[5 + p * (len(words) // n) + rng.randrange(5)] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def corpus():
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(100, 220))]
+        texts.append(" ".join(words))
+        for n in rng.sample(range(1, 8), 3):
+            texts.append(" ".join(changed(rng, words, n)))
+    passage = [f"p{i}" for i in range(40)]
+    texts += [" ".join(passage + [f"x{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(30)]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("crowd", [64, 3])
+def test_near_copies_equal_brute_force(spark, crowd):
+    rows = corpus()
+    pairs = [len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y)) for i, (_, x) in enumerate(rows) for _, y in rows[:i]]
+    assert sum(0.8 <= p <= 0.95 for p in pairs) > 20 and sum(0.6 < p < 0.8 for p in pairs) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "") if crowd == near_copies.CROWD else near_copies.keep(docs, crowd=crowd)
+    assert sorted(r["doc_id"] for r in got.collect()) == first_ids(rows)
+
+
+def test_near_copies_odd_rows(spark):
+    long = " ".join(f"a{i}" for i in range(50))
+    rows = [(1, None), (2, ""), (3, "a b"), (4, "A  b"), (5, "a c"), (5, long), (None, long + " end"), (None, "only here"), (None, "only here"), (7, long)]
+    got = near_copies.keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, [(1, None), (3, "a b"), (5, "a c"), (5, long), (None, "only here")]))
+    assert near_copies.keep(spark.createDataFrame([], "doc_id long, text string")).count() == 0
