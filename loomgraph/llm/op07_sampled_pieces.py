@@ -40,6 +40,8 @@ MODEL, SAMPLES, SEED = "piece_bpe_32k.model", 4, 42
 SPACE = "▁"
 #: Words whose lattices a worker keeps.
 CACHE_WORDS = 100_000
+#: Pieces a worker holds before it gives rows back: texts may be very long.
+HELD_PIECES = 500_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 #: Of the arcs at a place: cumulative shares, ends, ids, log-shares, logs of the others' share.
@@ -188,21 +190,28 @@ def sample_pieces(df: DataFrame, keys: list[str], text: str, k: int = SAMPLES, s
     fields = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
     schema = ", ".join([*(f"`{c}` {t}" for c, t in fields.items()), "sample int, ids array<int>, log_prob double, perturbed double, inclusion double, decoded string"])
 
+    columns = [*keys, "sample", "ids", "log_prob", "perturbed", "inclusion", "decoded"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(name)
         for b in batches:
-            for at in range(0, len(b), 200):
-                part, rows = b.iloc[at : at + 200], []
-                for *own, h, t in part.astype(object).itertuples(index=False, name=None):
-                    for i, (ids, p, value, inclusion) in enumerate(m.sample(t, k, h), 1):
-                        rows.append((*(None if pd.isna(x) else x for x in own), i, ids, p, value, inclusion, m.decode(ids)))
-                yield pd.DataFrame(rows, columns=[*keys, "sample", "ids", "log_prob", "perturbed", "inclusion", "decoded"])
+            rows, held = [], 0
+            for *own, h, t in b.astype(object).itertuples(index=False, name=None):
+                for i, (ids, p, value, inclusion) in enumerate(m.sample(t, k, h), 1):
+                    rows.append((*(None if pd.isna(x) else x for x in own), i, ids, p, value, inclusion, m.decode(ids)))
+                    held += len(ids)
+                if held > HELD_PIECES or len(rows) >= 200 * k:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return df.select(*keys, F.xxhash64(F.lit(seed), *keys).alias("_hash"), text_of(text).alias("_text")).mapInPandas(run, schema)
 
 
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of every turn of ``conversations``, the table for instruction data."""
-
-    found = sample_pieces(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
-    return found.select("conv_id", "turn", "sample", F.size("ids").alias("n_pieces"), F.crc32(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary")).alias("ids_crc32"), "log_prob", "perturbed", "inclusion", F.crc32("decoded").alias("decoded_crc32"))
+    """Samples of every text of ``documents`` (by doc_id) and every turn of ``conversations`` (by conv_id and turn)."""
+    docs = sample_pieces(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    turns = sample_pieces(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    found = docs.unionByName(turns, allowMissingColumns=True)
+    return found.select("doc_id", "conv_id", "turn", "sample", F.size("ids").alias("n_pieces"), F.crc32(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary")).alias("ids_crc32"), "log_prob", "perturbed", "inclusion", F.crc32("decoded").alias("decoded_crc32"))

@@ -275,6 +275,17 @@ def test_sampled_pieces(spark, docs):
     assert (out.inclusion.between(0, 1)).all() and pieces.sample_pieces(empty(docs), ["doc_id"], "text").count() == 0
 
 
+def test_sampled_pieces_cover_documents_and_conversations(spark, tmp_path):
+    texts = [(0, "some words of a text"), (1, None), (2, "word " * 3000), (None, "no id")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 0, "a first turn"), (7, 1, "another one")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = pieces.op7_sampled_pieces(spark, str(tmp_path)).toPandas()
+    docs = out[out.conv_id.isna()]
+    assert dict(docs.groupby("doc_id", dropna=False).size().items()).get(2) == 4 and len(docs) == 1 + 3 * pieces.SAMPLES
+    assert (docs[docs.doc_id == 2].n_pieces >= 3000).all() and len(out) - len(docs) == 2 * pieces.SAMPLES
+
+
+
 # -- 8 and 9 -------------------------------------------------------------------
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(1)
