@@ -7,8 +7,9 @@ learned by follow-the-regularised-leader with elastic-net penalties, which keeps
 them sparse, and scores are softened by a temperature fitted on documents set
 aside from the learning sample.
 
-The fit (idf, weights, temperature) takes at most ``FIT_PER_LANG`` documents of
-each language, those with the smallest hash of their id. Since a text's weight
+Document frequencies are counted over all documents that may be learned from.
+The fit (weights, temperature) takes at most ``FIT_PER_LANG`` documents of each
+language, those with the smallest hash of their id. Since a text's weight
 is a sum over its n-grams, prediction adds one table row per n-gram of the whole
 text, in bounded pieces, without building its vector.
 
@@ -101,8 +102,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 3) -> Model:
-    """FTRL-proximal over (n-grams, shares, language) samples."""
+def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 3, corpus: tuple[np.ndarray, int] | None = None) -> Model:
+    """FTRL-proximal over (n-grams, shares, language) samples.
+
+    ``corpus`` has the document frequency of every n-gram and the number of
+    documents; without it they are counted on the samples.
+    """
     langs = sorted({s[2] for s in samples})
     k, dims = len(langs), 1 << BITS
     if k == 0:
@@ -110,10 +115,11 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 3) -> Mod
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(samples))
     held, used = order[: int(len(order) * HELD_SHARE)], order[int(len(order) * HELD_SHARE) :]
-    df = np.zeros(dims)
-    for i in used:
-        df[samples[i][0]] += 1
-    idf = np.log((1 + len(used)) / (1 + df)) + 1
+    df, total = corpus or (np.zeros(dims), len(used))
+    if corpus is None:
+        for i in used:
+            df[samples[i][0]] += 1
+    idf = np.log((1 + total) / (1 + df)) + 1
     z, n = np.zeros((dims + 1, k)), np.zeros((dims + 1, k))
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -159,6 +165,30 @@ def learnable(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 != 1, F.lit(False))
 
 
+def document_frequencies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[np.ndarray, int]:
+    """(documents that hold each n-gram, documents) over all learnable rows with a text."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # One more place holds the number of documents.
+        df = np.zeros((1 << BITS) + 1, np.int64)
+        for b in batches:
+            for t in b["t"]:
+                seen = np.zeros(len(df), bool)
+                seen[-1] = True
+                for _, points in _pieces([t]):
+                    for g in grams(points):
+                        seen[g] = True
+                df += seen
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"at": at.astype(np.int32), "n": df[at]})
+
+    own = docs.where(learnable(F.col(key)) & F.col(text).isNotNull()).select(F.col(text).alias("t"))
+    found = own.mapInPandas(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros((1 << BITS) + 1, np.int64)
+    df[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return df[:-1], int(df[-1])
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     own = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where(learnable(F.col("k")) & F.col("l").isNotNull() & F.col("t").isNotNull())
     # A language may hold most rows: the first ranking splits each into SALTS parts, the second sees few rows.
@@ -176,7 +206,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     # The chosen ids are few: at most FIT_PER_LANG of each language.
     sample = own.join(F.broadcast(chosen), ["k", "l"], "left_semi").mapInPandas(featurise, "at array<int>, share array<double>, l string")
     rows = sorted(((np.asarray(r["at"], np.int64), np.asarray(r["share"]), r["l"]) for r in sample.collect()), key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes()))
-    return fit(rows)
+    return fit(rows, corpus=document_frequencies(docs, text, key))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -329,6 +329,16 @@ def test_language(spark):
     assert m.predict([long])[0] == ["en"]
 
 
+def test_language_document_frequencies_cover_all_rows(spark):
+    rows = [(i, f"text {'qqq' if i % 50 == 0 else 'abc'} {i}", "en") for i in range(3000)] + [(None, "no id", "en"), (0, None, "en")]
+    df, total = language.document_frequencies(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    own = [t for k, t, _ in rows if k is not None and t is not None and zlib.crc32(str(k).encode()) % 3 != 1]
+    want = np.zeros(1 << language.BITS, np.int64)
+    for t in own:
+        want[language.counts(t)[0]] += 1
+    assert total == len(own) > language.FIT_PER_LANG and (df == want).all()
+
+
 # -- 10 ------------------------------------------------------------------------
 def _fingerprint(text):
     import re
