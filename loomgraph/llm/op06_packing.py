@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.textstats import text_of
@@ -113,9 +113,18 @@ def pack(sizes: Iterator[tuple[int, int, int]], limits: tuple[int, int, int] = (
     yield from fill(pool, limits, True)
 
 
-def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = TOKENIZER, end_id: int = END_ID, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS)) -> DataFrame:
-    """A row per piece: where it lies in its document and in its sequence."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+def pack_documents(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = TOKENIZER, end_id: int = END_ID, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS),
+    loss: Column | str | None = None, ids: bool = True,
+) -> DataFrame:
+    """A row per piece: where it lies in its document and in its sequence, its
+    loss-bearing tokens and, with ``ids``, its token ids.
+
+    ``loss`` says how many of a document's last tokens, the end id among them,
+    bear loss; null stands for all, and numbers are held between 0 and all.
+    """
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<int>" * ids
+    loss = F.lit(None) if loss is None else F.col(loss) if isinstance(loss, str) else loss
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -129,32 +138,33 @@ def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", tok
         def documents() -> Iterator[tuple[int, int, int]]:
             k = 0
             for b in batches:
-                keys, texts = b["k"].astype(object).tolist(), b["t"].tolist()
+                keys, texts, bears = b["k"].astype(object).tolist(), b["t"].tolist(), b["l"].astype(object).tolist()
                 for i in range(0, len(keys), 500):
-                    ids, at = encoder(tokenizer, False).encode(texts[i : i + 500])
+                    found, at = encoder(tokenizer, False).encode(texts[i : i + 500])
                     for j, name in enumerate(keys[i : i + 500]):
-                        own = np.append(ids[at[j] : at[j + 1]], np.uint32(end_id))
+                        own = np.append(found[at[j] : at[j + 1]], np.uint32(end_id))
                         held[k], left[k] = (None if pd.isna(name) else int(name), own), len(own)
-                        yield k, len(own), len(own)
+                        yield k, len(own), len(own) if pd.isna(bears[i + j]) else min(max(int(bears[i + j]), 0), len(own))
                         k += 1
 
         first = TaskContext.get().partitionId() << 40
         for n, pieces in enumerate(pack(documents(), limits)):
             offset = 0
-            for d, start, size, _ in pieces:
-                name, ids = held[d]
-                rows.append((name, start, size, zlib.crc32(ids[start : start + size].astype("<u4").tobytes()), len(ids), first + n, offset))
+            for d, start, size, bears in pieces:
+                name, whole = held[d]
+                own = whole[start : start + size].astype("<u4")
+                rows.append((name, start, size, zlib.crc32(own.tobytes()), len(whole), first + n, offset, bears) + (own.astype(np.int32),) * ids)
                 offset += size
                 left[d] -= size
                 if not left[d]:
                     del held[d], left[d]
-            if len(rows) >= 10_000:
+            if len(rows) >= (1_000 if ids else 10_000):
                 yield _frame(rows, schema)
                 rows = []
         if rows:
             yield _frame(rows, schema)
 
-    return docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("t")).mapInPandas(place, schema)
+    return docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("t"), loss.cast("long").alias("l")).mapInPandas(place, schema)
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -163,4 +173,4 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), ids=False).drop("loss_tokens")

@@ -243,6 +243,23 @@ def test_packed_documents(spark, docs):
     assert packing.pack_documents(empty(docs)).count() == 0
 
 
+def test_packed_documents_with_loss_and_ids(spark):
+    rows = [(i, " ".join(random.choice(WORDS) for _ in range(40)), None if i == 0 else 10_000 if i == 1 else i % 30) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, answer long").coalesce(1)
+    limits = (512, 64, 40)
+    own = dict(zip(range(60), _ids([t for _, t, _ in rows], packing.TOKENIZER, False, 1)))
+    want = {k: len(own[k]) if n is None else min(n, len(own[k])) for k, _, n in rows}
+    for loss in ("answer", F.col("answer") + 0):
+        got = packing.pack_documents(docs, limits=limits, loss=loss).toPandas()
+        assert (got.groupby("sequence_id").loss_tokens.sum() <= 40).all()
+        assert got.sequence_id.nunique() > packing.pack_documents(docs, limits=(512, 64, 512), ids=False).select("sequence_id").distinct().count()
+        assert got.groupby("doc_id").loss_tokens.sum().to_dict() == want
+        for p in got.itertuples():
+            ids = np.array(p.ids, np.int64)
+            assert (ids == own[p.doc_id][p.start : p.start + p.length]).all() and zlib.crc32(ids.astype("<u4").tobytes()) == p.ids_crc32
+    assert "ids" not in packing.pack_documents(docs, ids=False).columns
+
+
 # -- 7 -------------------------------------------------------------------------
 def test_sampled_pieces(spark, docs):
     m = pieces.model(pieces.MODEL)
