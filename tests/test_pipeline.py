@@ -3,10 +3,13 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from loomgraph.llm import near_copies
+from loomgraph.llm import op06_packing as packing
+from loomgraph.llm.tokens import encoder
 
 
 def shingles(text):
@@ -76,3 +79,34 @@ def test_near_copies_odd_rows(spark):
     got = near_copies.keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, [(1, None), (3, "a b"), (5, "a c"), (5, long), (None, "only here")]))
     assert near_copies.keep(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chain_equals_brute_force(spark, tmp_path, monkeypatch):
+    rows = corpus() + [(1000, "too short"), (1001, "over and over " * 50), (1002, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = []
+
+    def recorded(df, name, write=corpus_pipeline.materialise):
+        out = write(df, name)
+        stages.append((name, sorted(tuple(r) for r in out.select("doc_id", "text").collect())))
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "materialise", recorded)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    # Without labels no cutoff is certified and nothing is learned: the base rule alone rejects.
+    good = sorted(r for r in rows if r[0] < 1000)
+    firsts = set(first_ids(good))
+    want = [good, good, [r for r in good if r[0] in firsts]]
+    assert [name for name, _ in stages] == [name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES[:-1]]
+    assert [found for _, found in stages] == want and len(want[2]) < len(good) - 20
+    tokens = encoder(packing.TOKENIZER, False)
+    for key, text in want[2]:
+        ids = [*tokens.encode([text])[0].tolist(), packing.END_ID]
+        parts = packed[packed.doc_id == key].sort_values("start")
+        assert [i for p in parts.ids for i in p] == ids
+        assert all(zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32 for p in parts.itertuples())
+    assert set(packed.doc_id) == firsts
+    for _, part in packed.groupby("sequence_id"):
+        n = part.length.sum()
+        assert n <= packing.TOKENS and len(part) <= packing.SEGMENTS and n & (n - 1) == 0
