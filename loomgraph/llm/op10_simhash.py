@@ -200,8 +200,8 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return found.union(spread).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """(key, fingerprint as long ``fp``, ``component_id``) for every row."""
+def _marked_and_named(docs: DataFrame, text: str, key: str, size: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(key, fp) for every row and (fp, its least key ``rep``, component, component_id) for every fingerprint."""
     marked = materialise(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), text_of("text"), "fp", size, keep=["key"]), "simhash-fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("key").alias("rep")), "simhash-nodes")
     found = materialise(links(nodes.select("fp"), bucket), "simhash-links")
@@ -209,21 +209,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     labelled = nodes.join(grouped.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     labelled = materialise(labelled, "simhash-labelled")
     names = materialise(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "simhash-names")
-    named = materialise(labelled.join(names, "component").select("fp", "component_id"), "simhash-named")
+    named = materialise(labelled.join(names, "component").select("fp", "rep", "component", "component_id"), "simhash-named")
+    return marked, named
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """(key, fingerprint as long ``fp``, ``component_id``) for every row."""
+    marked, named = _marked_and_named(docs, text, key, size, bucket)
     return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def keep(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each component: that with the least id, once if it is repeated.
 
-    Rows without an id count as copies where their component has an id; else
-    one of each fingerprint stays.
+    If rows of that id differ, the row is of the component, and of its least
+    fingerprint. Rows without an id count as copies where their component has an
+    id; else one of each fingerprint stays.
     """
-    held = near_duplicates(docs, text, key)
-    chosen = held.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    firsts = docs.join(chosen, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    marked, named = _marked_and_named(docs, text, key, SHINGLE, BUCKET)
     fp = fresh("fp", docs)
-    alone = held.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp)).distinct()
+    best = named.where(F.col("rep") == F.col("component_id")).groupBy("component").agg(F.min("fp").alias(fp), F.first("rep").alias(key))
+    chosen = materialise(best.select(key, fp), "simhash-chosen")
+    # Only ids whose rows differ need the fingerprint again to tell them apart.
+    mixed = materialise(marked.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select(F.col("key").alias(key)), "simhash-mixed")
+    plain = docs.join(chosen.join(mixed, key, "left_anti").select(key), key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    told = with_fingerprint(docs.join(mixed, key, "left_semi").select(docs.columns), text_of(text), fp)
+    firsts = plain.union(told.join(chosen, [key, fp], "left_semi").dropDuplicates([key, fp]).select(docs.columns))
+    alone = named.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp))
     nameless = with_fingerprint(docs.where(F.col(key).isNull()), text_of(text), fp)
     return firsts.union(nameless.join(alone, fp, "left_semi").dropDuplicates([fp]).select(docs.columns))
 

@@ -377,6 +377,13 @@ def test_simhash_fingerprints(spark, docs):
     assert simhash.near_duplicates(empty(docs)).count() == 0 and simhash.keep(empty(docs)).count() == 0
 
 
+def test_simhash_keep_tells_rows_of_one_id_apart(spark):
+    one, two, three = (" ".join(random.choice(WORDS) for _ in range(80)) for _ in range(3))
+    rows = [(1, one), (1, two), (1, two), (2, two), (3, three), (4, one), (None, three)]
+    kept = simhash.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, two), (3, three)])
+
+
 @pytest.mark.parametrize("bucket", [4096, 8])
 def test_simhash_links(spark, bucket):
     """With a small bucket the crowded neighbourhoods go the other way."""
