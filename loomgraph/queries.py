@@ -280,8 +280,8 @@ ALGORITHMS: dict[str, tuple[Callable, str | None]] = {
     "algo_lpa": (lambda s, d: A.label_propagation(part_ids(s, d), part_edges(s, d).select("src", "dst"), 2), _lpa_sql(2)),
     "algo_wlpa": (lambda s, d: A.weighted_label_propagation(part_ids(s, d), part_edges(s, d), 2), None),
     "algo_slpa": (lambda s, d: A.speaker_listener(part_ids(s, d), part_edges(s, d), 3), None),
-    "algo_louvain": (lambda s, d: A.louvain(part_ids(s, d), part_edges(s, d), levels=1, rounds=2), None),
-    "algo_leiden": (lambda s, d: A.leiden(part_ids(s, d), part_edges(s, d), levels=1), None),
+    "algo_louvain": (lambda s, d: A.louvain(part_ids(s, d), part_edges(s, d)), None),
+    "algo_leiden": (lambda s, d: A.leiden(part_ids(s, d), part_edges(s, d)), None),
     "algo_triangles": (lambda s, d: A.triangle_count(part_ids(s, d), part_edges(s, d)), f"WITH {U_SQL}{T_SQL} SELECT p_partkey AS id, coalesce(n, 0) AS triangles FROM part LEFT JOIN c ON id = p_partkey"),
     "algo_lcc": (
         lambda s, d: _round(A.local_clustering(part_ids(s, d), part_edges(s, d)), "score"),

@@ -190,3 +190,15 @@ def test_procedures(spark):
 def test_empty_graph(spark):
     with pytest.raises(SchemaError):
         Graph.empty().all_vertices()
+
+
+def test_registered_communities_run_to_the_end(spark, monkeypatch):
+    from loomgraph import queries as Q
+
+    calls = []
+    monkeypatch.setattr(Q, "part_ids", lambda s, d: "ids")
+    monkeypatch.setattr(Q, "part_edges", lambda s, d: "edges")
+    for name in ("louvain", "leiden"):
+        monkeypatch.setattr(Q.A, name, lambda *args, **given: calls.append((args, given)))
+        Q.queries()[f"algo_{name}"](spark, "")
+    assert calls == [(("ids", "edges"), {})] * 2  # the operators' own levels and rounds
