@@ -2,25 +2,34 @@
 
 Vectors get one more component that turns the largest inner product into the
 least distance, are rotated at random and assigned to the list of their nearest
-centroid. Lists are cut into blocks of bounded size; each block is one row that
-holds its vectors as a matrix. A query visits its nearest lists. Within a block
-distances are built up from column blocks of the rotated vectors; after each, a
-candidate whose partial distance, scaled to all dimensions, exceeds the query's
-current 20th best by more than the test's margin is abandoned: under a random
-rotation that is a test of the hypothesis that it is nearer. Survivors get their
-exact inner product in double precision from the original vectors.
+centroid. Neighbouring lists stand on one shelf, a shelf over ``CELL_ROWS``
+vectors is dealt into several cells, and a task holds one cell at a time while
+the queries that probe it stream by; so vectors move once a wave, and a query
+once for each cell that it probes, not for each list.
+
+Lists are probed in three waves: the nearest list, the next ones up to an eighth
+of all probes, then the rest. A wave starts with the k-th best score that the
+waves before have found for a query. Within a cell, squared distances of a block
+of queries to a block of vectors are built up from column blocks of the rotated
+vectors; after each, a candidate whose partial distance, scaled to all
+dimensions, exceeds the query's limit by more than the test's margin is
+abandoned: under a random rotation that is a test of the hypothesis that it is
+nearer. Survivors get their exact inner product in double precision from the
+original vectors; a task keeps the k best of each query, and what a wave gives
+back is what beats its limits, some dozens of rows a query at any size.
 
 Centroids are fitted on at most ``FIT_ROWS`` vectors, those with the smallest
 hash of their id; every vector is indexed. List sizes, norms and the number of
 lists (the square root of the row count, up to ``LISTS``) come from all rows.
-How many lists a query visits is measured on the sample: as many as hold
+How many lists a query probes is measured on the sample: as many as hold
 ``COVERAGE`` of its exact nearest neighbours.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part, nor do vectors of another length than the commonest; a
-query probes on until the lists it has seen hold enough candidates; ties go to
-the smaller id; repeated ids are separate candidates, except the query's own id;
-a row without an id takes no part.
+components take no part; shorter vectors count as continued with zeros; a query
+probes on until the lists it has seen hold enough candidates; ties go to the
+smaller id; rows that repeat an id are separate candidates and separate queries,
+and only a query's own row is none of its candidates; a row without an id takes
+no part.
 """
 
 from __future__ import annotations
@@ -29,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans.storage import materialise, table
@@ -38,10 +47,17 @@ K, QUERY_EVERY = 20, 20
 FIT_ROWS, LISTS, FIT_ROUNDS = 20_000, 4096, 8
 #: Share of sampled nearest neighbours whose lists are to be probed; it sets how many are.
 COVERAGE, COVERAGE_QUERIES = 0.97, 400
-#: Vectors of a block, and queries matched with it at a time.
-BLOCK, QUERY_BLOCK = 2048, 256
+#: Lists of a shelf, and vectors of a cell, about.
+SHELF, CELL_ROWS = 8, 32_768
+#: Vectors and queries that are matched at a time.
+BLOCK, QUERY_BLOCK = 4096, 256
+#: Rows that a task holds before it cuts them down to the k best of each query.
+HELD_ROWS = 400_000
 #: Columns added at a time, and the margin of the test in standard deviations.
 COLUMNS, MARGIN, SEED = 16, 2.1, 7
+#: Share of candidates left below which they are followed one by one.
+SPARSE = 1 / 16
+FOUND = "query_no long, query_id long, vec_id long, score double"
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -91,52 +107,81 @@ def probes_needed(sample: np.ndarray, turned, centres: np.ndarray, k: int, cover
     return int(np.quantile(depth, coverage)) + 1 if depth.size else 1
 
 
-def matrix(column) -> np.ndarray:
-    return np.vstack([np.asarray(v, np.float64) for v in column]) if len(column) else np.empty((0, 0))
+def matrix(column, d: int) -> np.ndarray:
+    """The vectors of a column as rows, continued with zeros."""
+    out = np.zeros((len(column), d))
+    for i, v in enumerate(column):
+        out[i, : len(v)] = v
+    return out
+
+
+def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best rows of each query, by query, best first."""
+    order = np.lexsort((ids, -scores, query))
+    q = query[order]
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    return order[place < k]
 
 
-def scan(ids: np.ndarray, rotated: np.ndarray, plain: np.ndarray, qid: int, q: np.ndarray, q_plain: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, exact inner products) of the block's best for one query.
+def scan(x: np.ndarray, plain: np.ndarray, ids: np.ndarray, q: np.ndarray, q_plain: np.ndarray, allowed: np.ndarray, limits: np.ndarray, ceiling: float, k: int) -> tuple[np.ndarray, ...]:
+    """(places in ``q``, places in ``x``, inner products) of each query's best among the block.
 
-    ``limit``: squared distance of a known k-th best, infinite if none is known.
-    The first columns decide whose full distance is taken first, which gives a
-    limit; the others are tested after each column block.
+    ``limits``: the k-th best inner product known for each query, or minus
+    infinity; where none is known the block's own k-th best stands in.
+    ``|q - x|^2 = |q|^2 + ceiling - 2 <q, x>`` in the rotated space.
     """
-    d, at = rotated.shape[1], np.flatnonzero(ids != qid)
-    if not len(at):
-        return ids[:0], np.empty(0)
-    if len(at) > k:
-        done = min(COLUMNS, d)
-        part = ((rotated[at, :done] - q[:done]) ** 2).sum(1)
-        some = np.argpartition(part, k - 1)[:k]
-        limit = min(limit, float(((rotated[at[some]] - q) ** 2).sum(1).max()) * (1 + 1e-9))
-        while done < d:
-            stay = part * (d / done) <= limit * (1 + MARGIN / np.sqrt(done)) ** 2
-            at, more = at[stay], min(done + COLUMNS, d)
-            part = part[stay] + ((rotated[at, done:more] - q[done:more]) ** 2).sum(1)
-            done = more
-        at = at[part <= limit]
-    exact = plain[at] @ q_plain
-    best = np.lexsort((ids[at], -exact))[:k]
-    return ids[at][best], exact[best]
-
-
-def search(rows: DataFrame, queries: DataFrame, k: int = K, coverage: float = COVERAGE) -> DataFrame:
+    d, own, limits = x.shape[1], (q_plain**2).sum(1), limits.copy()
+    none = np.flatnonzero(np.isneginf(limits) & (allowed.sum(1) > k))
+    if len(none):
+        products = np.where(allowed[none], q_plain[none] @ plain.T, -np.inf)
+        limits[none] = np.partition(products, len(plain) - k, axis=1)[:, len(plain) - k]
+    slack = 1e-9 * (own + ceiling)
+    far = own + ceiling - 2 * limits + slack
+    part, alive, done = np.zeros(allowed.shape), allowed, 0
+    qi = xi = None
+    while done < d:
+        to = min(done + COLUMNS, d)
+        a, b = q[:, done:to], x[:, done:to]
+        if qi is None:
+            part += (a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T
+        else:
+            left += ((a[qi] - b[xi]) ** 2).sum(1)
+        done = to
+        bound = far * (done / d) * (1 + MARGIN / np.sqrt(done)) ** 2 if done < d else far
+        if qi is None:
+            alive = alive & (part <= bound[:, None])
+            if done < d and np.count_nonzero(alive) < SPARSE * alive.size:
+                qi, xi = np.nonzero(alive)
+                left = part[qi, xi]
+        else:
+            stay = left <= bound[qi]
+            qi, xi, left = qi[stay], xi[stay], left[stay]
+    if qi is None:
+        qi, xi = np.nonzero(alive)
+    score = np.empty(len(qi))
+    for i in range(0, len(qi), 65_536):
+        score[i : i + 65_536] = np.einsum("ij,ij->i", q_plain[qi[i : i + 65_536]], plain[xi[i : i + 65_536]])
+    near = score >= limits[qi] - slack[qi]
+    qi, xi, score = qi[near], xi[near], score[near]
+    best = best_of(qi, ids[xi], score, k)
+    return qi[best], xi[best], score[best]
+
+
+def search(rows: DataFrame, wanted: Column | str, k: int = K, coverage: float = COVERAGE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query.
 
-    ``rows`` and ``queries``: (key long, v array<double>) of usable vectors.
+    ``rows``: (key long, v array<double>) of usable vectors; those that meet the
+    condition ``wanted`` are queries too.
     """
     spark = rows.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows = materialise(rows, "ann-rows")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    d = sizes["d"]
-    rows, queries = rows.where(F.size("v") == d), queries.where(F.size("v") == d)
+    wanted = F.expr(wanted) if isinstance(wanted, str) else wanted
+    rows = materialise(rows.withColumn("no", F.monotonically_increasing_id()), "ann-rows")
     squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, top = rows.agg(F.count("*"), F.max(squared)).first()
-    sample = matrix([r["v"] for r in rows.select("v", F.xxhash64("key").alias("h"), "key").orderBy("h", "key").limit(FIT_ROWS).select("v").collect()])
+    n, top, d = rows.agg(F.count("*"), F.max(squared), F.max(F.size("v"))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = matrix([r["v"] for r in rows.select("v", F.xxhash64("key").alias("h"), "key").orderBy("h", "key").limit(FIT_ROWS).select("v").collect()], d)
     turn = rotation(d + 1)
 
     def turned(x: np.ndarray, query: bool = False) -> np.ndarray:
@@ -144,69 +189,130 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, coverage: float = CO
         return np.column_stack([x, extra]) @ turn
 
     centres = centroids(turned(sample), int(min(LISTS, max(1, round(n**0.5)))))
-    block_schema = "list int, ids array<long>, vectors binary, n int"
+    shelf = nearest(centres, centroids(centres, -(-len(centres) // SHELF)))
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, ids = matrix(b["v"]), b["key"].to_numpy()
-            if not len(ids):
-                continue
-            near = nearest(turned(x), centres)
-            order, out = np.argsort(near, kind="stable"), []
-            for chunk in np.split(order, np.flatnonzero(np.diff(near[order])) + 1):
-                for i in range(0, len(chunk), BLOCK):
-                    c = chunk[i : i + BLOCK]
-                    out.append((int(near[c[0]]), ids[c], x[c].tobytes(), len(c)))
-            yield pd.DataFrame(out, columns=["list", "ids", "vectors", "n"])
-
-    pieces = materialise(rows.mapInPandas(index, block_schema), "ann-pieces")
-    held = {r["list"]: r["n"] for r in pieces.groupBy("list").agg(F.sum("n").alias("n")).collect()}
-    filled = np.array([held.get(i, 0) for i in range(len(centres))], np.int64)
-    least = probes_needed(sample, turned, centres, k, coverage)
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x, ids = matrix(b["v"]), b["key"].to_numpy()
-            if not len(ids):
-                continue
-            distance = (centres**2).sum(1) - 2 * turned(x, True) @ centres.T
-            order = np.argsort(distance, axis=1, kind="stable")
-            enough = (np.cumsum(filled[order], axis=1) < k + 1).sum(1) + 1
-            probes = np.minimum(np.maximum(enough, least), len(centres))
-            out: dict[int, list[int]] = {}
-            for i, m in enumerate(probes):
-                for c in order[i, :m]:
-                    if filled[c]:
-                        out.setdefault(int(c), []).append(i)
-            yield pd.DataFrame(
-                [(c, ids[at[j : j + QUERY_BLOCK]], x[at[j : j + QUERY_BLOCK]].tobytes()) for c, at in out.items() for j in range(0, len(at), QUERY_BLOCK)],
-                columns=["list", "query_ids", "query_vectors"],
-            )
-
-    routed = materialise(queries.mapInPandas(route, "list int, query_ids array<long>, query_vectors binary"), "ann-routed")
+            x = matrix(b["v"], d)
+            yield pd.DataFrame({"no": b["no"], "key": b["key"], "list": nearest(turned(x), centres), "vector": [v.tobytes() for v in x]})
+
+    stored = materialise(rows.mapInPandas(assign, "no long, key long, list int, vector binary"), "ann-lists")
+    filled = np.zeros(len(centres), np.int64)
+    for r in stored.groupBy("list").count().collect():  # a row per list, LISTS at most
+        filled[r["list"]] = r["count"]
+    held = np.bincount(shelf, filled, minlength=shelf.max() + 1)
+    slots = np.maximum(np.ceil(held / CELL_ROWS).astype(np.int64), 1)
+    first_cell = np.cumsum(slots) - slots
+    places = spark.createDataFrame([(i, int(first_cell[s]), int(slots[s])) for i, s in enumerate(shelf)], "list int, first long, slots long")
+    cell = F.col("first") + F.pmod(F.xxhash64("no"), F.col("slots"))
+    vectors = stored.join(places, "list").select(cell.alias("cell"), F.lit(0).alias("kind"), "no", "key", F.array("list").alias("lists"), F.lit(None).cast("double").alias("limit"), "vector")
+    vectors = materialise(vectors, "ann-vectors")
+    queries = stored.where(wanted).select("no", "key", "vector")
+    probes = probes_needed(sample, turned, centres, k, coverage)
+    ends = sorted({1, -(-probes // 8), probes})
+
+    def route(start: int, end: int):
+        """Each query once for every cell that holds lists of its places ``start`` to ``end``; the last wave goes on until there are enough candidates."""
+        last = end == ends[-1]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for lo in range(0, len(whole), QUERY_BLOCK):
+                    b = whole.iloc[lo : lo + QUERY_BLOCK]
+                    x = np.frombuffer(b"".join(b["vector"])).reshape(-1, d)
+                    order = np.argsort((centres**2).sum(1) - 2 * turned(x, True) @ centres.T, axis=1, kind="stable")
+                    enough = (np.cumsum(filled[order], axis=1) < k + 1).sum(1) + 1
+                    stop = np.minimum(np.maximum(enough, end) if last else np.full(len(b), end), len(centres))
+                    out = []
+                    for i, (no, key, limit, vector) in enumerate(zip(b["no"], b["key"], b["limit"], b["vector"])):
+                        lists = order[i, start : stop[i]]
+                        lists = lists[filled[lists] > 0]
+                        for s in np.unique(shelf[lists]):
+                            own = lists[shelf[lists] == s]
+                            out += [(int(c), 1, no, key, own, limit, vector) for c in range(first_cell[s], first_cell[s] + slots[s])]
+                    yield pd.DataFrame(out, columns=["cell", "kind", "no", "key", "lists", "limit", "vector"])
+
+        return run
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shelved: list[pd.DataFrame] = []
+        limits: dict[int, float] = {}
+        found: list[tuple[np.ndarray, ...]] = []
+        at, size = None, 0
+        columns = ["query_no", "query_id", "vec_id", "score"]
+
+        def trimmed() -> pd.DataFrame:
+            whole = [np.concatenate(c) for c in zip(*found)]
+            best = best_of(whole[0], whole[2], whole[3], k)
+            return pd.DataFrame({c: v[best] for c, v in zip(columns, whole)})
+
         for b in batches:
-            limits: dict[int, float] = {}
-            found: list[tuple[np.ndarray, ...]] = []
-            for ids, vectors, qids, qv in zip(b["ids"], b["vectors"], b["query_ids"], b["query_vectors"]):
-                plain, q_plain = np.frombuffer(vectors).reshape(-1, d), np.frombuffer(qv).reshape(-1, d)
-                x, q = turned(plain), turned(q_plain, True)
-                ids = np.asarray(ids, np.int64)
-                for i, qid in enumerate(qids):
-                    got, score = scan(ids, x, plain, int(qid), q[i], q_plain[i], k, limits.get(int(qid), np.inf))
-                    if len(got) == k:  # |q - x|^2 = |q|^2 + top - 2 <q, x>
-                        limits[int(qid)] = min(limits.get(int(qid), np.inf), float((q_plain[i] ** 2).sum() + top - 2 * score[-1]))
-                    found.append((np.full(len(got), qid), got, score))
-            if found:
-                yield pd.DataFrame({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("query_id", "vec_id", "score"))})
-
-    pairs = routed.join(pieces, "list").select("ids", "vectors", "query_ids", "query_vectors")
-    near = pairs.mapInPandas(visit, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for (c, kind), part in b.groupby(["cell", "kind"], sort=True):
+                if kind == 0:
+                    if at is None or at[0] != c:
+                        at, shelved = (c, None), []
+                    shelved.append(part[["no", "key", "lists", "vector"]])
+                    continue
+                if at is None or at[0] != c:
+                    continue
+                if at[1] is None:
+                    whole = pd.concat(shelved)
+                    plain = np.frombuffer(b"".join(whole["vector"])).reshape(-1, d)
+                    lists = np.array([x[0] for x in whole["lists"]])
+                    at, shelved = (c, (whole["no"].to_numpy(), whole["key"].to_numpy(), lists, plain, turned(plain))), []
+                nos, ids, lists, plain, x = at[1]
+                for lo in range(0, len(part), QUERY_BLOCK):
+                    p = part.iloc[lo : lo + QUERY_BLOCK]
+                    q_plain = np.frombuffer(b"".join(p["vector"])).reshape(-1, d)
+                    q, q_no, q_id = turned(q_plain, True), p["no"].to_numpy(), p["key"].to_numpy()
+                    known = np.array([max(limits.get(i, -np.inf), -np.inf if pd.isna(v) else v) for i, v in zip(q_no, p["limit"])])
+                    probed = np.zeros((len(p), len(centres)), bool)
+                    for i, own in enumerate(p["lists"]):
+                        probed[i, own] = True
+                    for j in range(0, len(ids), BLOCK):
+                        s = slice(j, j + BLOCK)
+                        allowed = probed[:, lists[s]] & (q_no[:, None] != nos[s])
+                        if not allowed.any():
+                            continue
+                        qi, xi, score = scan(x[s], plain[s], ids[s], q, q_plain, allowed, known, top, k)
+                        if not len(qi):
+                            continue
+                        found.append((q_no[qi], q_id[qi], ids[s][xi], score))
+                        size += len(qi)
+                        full = np.bincount(qi, minlength=len(p)) == k
+                        worst = np.full(len(p), np.inf)
+                        np.minimum.at(worst, qi, score)
+                        known[full] = np.maximum(known[full], worst[full])
+                    if len(limits) > HELD_ROWS:
+                        limits.clear()  # known again from what each row brings
+                    limits.update(zip(q_no.tolist(), known.tolist()))
+                    if size > HELD_ROWS:
+                        less = trimmed()
+                        found, size = [tuple(less[c].to_numpy() for c in columns)], len(less)
+                        if size > HELD_ROWS // 2:
+                            yield less
+                            found, size, limits = [], 0, {}
+        if found:
+            yield trimmed()
+
+    best = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
+    seen = None
+    for start, end in zip([0, *ends], ends):
+        if seen is None:
+            asked = queries.withColumn("limit", F.lit(None).cast("double"))
+        else:
+            known = seen.where(F.col("rank") == k).select(F.col("query_no").alias("no"), F.col("score").alias("limit"))
+            asked = queries.join(known, "no", "left").select("no", "key", "vector", "limit")
+        routed = asked.mapInPandas(route(start, end), vectors.schema)
+        met = vectors.union(routed).repartition("cell").sortWithinPartitions("cell", "kind", "lists")
+        more = met.mapInPandas(visit, FOUND)
+        if seen is not None:
+            more = more.union(seen.drop("rank"))
+        seen = more.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        if end != ends[-1]:
+            seen = materialise(seen, "ann-found")
+    return seen.select("query_id", "rank", "vec_id", "score")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return search(rows, rows.where(F.col("key") % QUERY_EVERY == 0))
+    return search(usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), F.col("key") % QUERY_EVERY == 0)

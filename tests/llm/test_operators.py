@@ -75,11 +75,13 @@ def test_ann_recall_and_edges(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
     x[700:1100] = x[700]  # a hot vector
-    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))] + [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (5004, [1.0] * 3), (None, [1.0] * 16), (5005, [None] * 16)]
+    x[1499, 3:] = 0  # given with three components only
+    rows = [(i, [float(v) for v in x[i][: 3 if i == 1499 else 16]]) for i in range(len(x))] + [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (None, [1.0] * 16), (5005, [None] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     use = ann.usable(df, "vec_id", "embedding")
-    got = ann.search(use, use.where("key % 50 = 0")).toPandas()
+    got = ann.search(use, "key % 50 = 0 or key = 1499").toPandas()
     assert got.groupby("query_id").size().eq(20).all() and got.vec_id.max() < 1500 and (got.query_id != got.vec_id).all()
+    assert len(got) == 31 * 20 and not got.duplicated(["query_id", "vec_id"]).any()
     hit = total = 0
     d = x.astype(float)
     for q, part in got.sort_values("rank").groupby("query_id"):
@@ -89,9 +91,29 @@ def test_ann_recall_and_edges(spark):
         hit, total = hit + len(set(best) & set(part.vec_id)), total + 20
         assert np.allclose(part.score, score[part.vec_id.to_numpy()], atol=1e-9) and (np.diff(part.score) <= 1e-12).all()
     assert hit / total >= 0.9
+    whole = ann.search(use, "key % 100 = 0", coverage=1.0).toPandas()
+    copies = [i for i in whole[whole.query_id == 700].sort_values("rank").vec_id if 700 < i < 1100]
+    assert len(copies) > 2 and copies == list(range(701, 701 + len(copies)))  # ties to smaller ids
     few = use.where("key < 5")
-    assert ann.search(few, few).count() == 5 * 4
-    assert ann.search(empty(use), empty(use)).count() == 0
+    assert ann.search(few, "true").count() == 5 * 4
+    assert ann.search(empty(use), "true").count() == 0
+    twice = ann.search(use.where("key < 3").union(use.where("key = 1")), "key = 1").collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in twice)[:2] == [(1, 1), (1, 1)] and len(twice) == 6
+
+
+def test_ann_scan_abandons_nothing_that_is_nearer():
+    rng = np.random.default_rng(1)
+    plain = rng.standard_normal((900, 40)) + 3 * rng.standard_normal((900, 1))
+    top, turn = float((plain**2).sum(1).max()), ann.rotation(41)
+    x = np.column_stack([plain, np.sqrt(top - (plain**2).sum(1))]) @ turn
+    asked = plain[:30]
+    q = np.column_stack([asked, np.zeros(30)]) @ turn
+    allowed = rng.random((30, 900)) < 0.7
+    exact = np.where(allowed, asked @ plain.T, -np.inf)
+    for limits in (np.full(30, -np.inf), np.sort(exact, axis=1)[:, -40]):
+        qi, xi, score = ann.scan(x, plain, np.arange(900), q, asked, allowed, limits, top, 20)
+        hit = sum(len(set(xi[qi == i]) & set(np.argsort(-exact[i])[:20])) for i in range(30))
+        assert hit >= 0.97 * 600 and allowed[qi, xi].all() and np.allclose(score, exact[qi, xi])
 
 
 # -- 3 -------------------------------------------------------------------------
