@@ -1,20 +1,25 @@
-"""Near copies: components of texts whose five-word shingles have a Jaccard of 0.8 or more, found exactly.
-
-SimHash distances at this similarity reach far beyond any radius that block
-tables can search exactly, so candidates come from a prefix join: with any one
-order of shingles, two sets of Jaccard t or more share one of the first
-n - ceil(t n) + 1 of each. The order puts common shingles last; which ones are
-common is estimated on a sample of texts, and decides the cost only, never the
-result. Every pair that shares a prefix shingle is compared by whole sets.
-
-Where over ``CROWD`` texts share a prefix shingle, each is first compared with
-one of them, another for every shingle; pairs inside a component found so far
-need no comparison. Pairs with too few prefix shingles in common are left out
-by a bound that holds for every similar pair.
+"""SimHash as a stage: one row of each group of texts whose five-word shingles have a Jaccard of 0.8 or more.
+
+At that similarity fingerprints of 64 bits differ in some ten bits, up to 16 or
+so, and block tables of bits cannot search that far. So fingerprints meet in
+other blocks here: a text has ``BANDS`` keys, each made of the least values of
+``BAND_ROWS`` hash functions over its shingles, and two texts of Jaccard 0.8
+share one of them with a chance of 0.9998. Within a block fingerprints are
+compared by bit planes as in ``op10_simhash``, at a radius of ``RADIUS``; what
+is within it is a candidate, and two texts are linked if their whole sets of
+shingles have the Jaccard.
+
+Only links that join components matter. First every text is held against its
+nearest neighbour in each block and a block's first text. Then, in the blocks
+that still hold several components, against its nearest few of every other
+component, then more of them, at last all: so no candidate is lost, and a large
+group of copies costs its size, not all its pairs. Blocks over ``TILE`` texts
+are dealt into tiles.
 
 Edge cases: a null text is an empty one; texts of the same lower-cased words
 are one node; with fewer words than a shingle has, the whole sequence is the one
-shingle; a null id names a component only if no id is there.
+shingle; the row kept has the least id of its group; a null id stands for a
+group only if no id is there; of rows that repeat id and words one stays.
 """
 
 from __future__ import annotations
@@ -22,120 +27,205 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.op10_simhash import _LOWER, _UPPER, shingle_hashes
+from loomgraph.llm.op10_simhash import _LOWER, _UPPER, _flat, _majority, close_pairs, planes_of, shingle_hashes
 from loomgraph.llm.textstats import text_of, words
 from loomgraph.operators.components import components
 from loomgraph.plans.storage import fresh, materialise
 
 #: Jaccard of NUM / DEN or more over shingles of SHINGLE words.
 SHINGLE, NUM, DEN = 5, 4, 5
-#: Most texts of a prefix shingle that are compared pairwise at once.
-CROWD = 64
-#: One text of so many tells which shingles are common; of those, the most that are put last.
-SAMPLE, COMMON = 16, 100_000
+#: Keys of a text, hash functions of a key, and differing bits of a candidate.
+BANDS, BAND_ROWS, RADIUS = 16, 4, 18
+#: Texts of a block that one task compares at once.
+TILE = 4096
+#: Nearest neighbours of a text in another component that are held against it, round by round; None: all.
+ROUNDS = (2, 32, 512, None)
+#: Most rows of a table of ids that is sent to all executors; beyond it joins shuffle.
+BROADCAST_ROWS = 500_000
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def node(text: Column | str) -> Column:
     return F.xxhash64(F.array_join(words(F.translate(text_of(text), _UPPER, _LOWER)), " "))
 
 
-def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(h, node, n): the prefix shingles of every text and the size of its set."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Finaliser of a 64-bit hash."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_FACTORS = _mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def band_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS`` keys for each run of ``values`` between ``offsets``; an empty run has all ones as its least values."""
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    out = np.zeros((len(offsets) - 1, BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(offsets) - 1, band + 1, np.uint64)
+        for r in range(BAND_ROWS):
+            least = np.full(len(offsets) - 1, _NONE)
+            if len(full):
+                x = values * _FACTORS[band * BAND_ROWS + r]
+                least[full] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), offsets[full])
+            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ least)
+        out[:, band] = key
+    return out
+
+
+def _marked(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(node, key, fp, blocks) of every row."""
+    schema = docs.select(node(text).alias("node"), F.col(key).alias("key"), F.lit(0).cast("long").alias("fp"), F.array().cast("array<long>").alias("blocks")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, len(b), 500):
-                part = b.slice(lo, 500)
-                lists = part.column(1)
-                ends = lists.offsets.to_numpy().astype(np.int64)
-                values = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64)
-                row = np.repeat(np.arange(len(part)), np.diff(ends))
-                late = np.isin(values, common)
-                at = np.lexsort((values, late, row))
-                values, row = values[at], row[at]
-                new = np.ones(len(values), bool)
-                new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
-                values, row = values[new], row[new]
-                n = np.bincount(row, minlength=len(part))
-                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                first = place < (n - (NUM * n + DEN - 1) // DEN + 1)[row]
-                nodes = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(values[first]), pa.array(nodes[row[first]]), pa.array(n[row[first]].astype(np.int32))], names=["h", "node", "n"])
-
-    return texts.select("node", shingle_hashes(F.col("text"), SHINGLE)).mapInArrow(run, "h long, node long, n int")
-
-
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                b = whole.slice(at, 500)
+                lists = b.column(2)
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
+                offsets = offsets - offsets[0]
+                keys = band_keys(values.view(np.uint64), offsets).view(np.int64)
+                blocks = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_majority(values, offsets).view(np.int64)), blocks], names=schema.names)
+
+    return docs.select(node(text).alias("node"), F.col(key).alias("key"), shingle_hashes(text_of(text), SHINGLE).alias("s")).mapInArrow(run, schema)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few longs, marked for broadcast if it is within ``BROADCAST_ROWS``."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, b): each text of a tile and its nearest later one."""
+    for batch in batches:
+        nodes, ends = _flat(list(batch["nodes"]))
+        fps = _flat(list(batch["fps"]))[0].view(np.uint64)
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, j, far in close_pairs(fps, np.arange(1, len(fps) + 1), np.repeat(ends[1:], np.diff(ends)), planes_of(fps), RADIUS):
+            order = np.lexsort((j, far, i))
+            first = order[np.r_[True, i[order][1:] != i[order][:-1]]] if len(order) else order
+            us.append(nodes[i[first]])
+            vs.append(nodes[j[first]])
+        yield pd.DataFrame({"a": np.concatenate(us), "b": np.concatenate(vs)})
+
+
+def _across(most: int | None):
+    """Each text outside a block's largest component and its ``most`` nearest of every other component; ``more`` if there are others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            nodes, ends = _flat(list(batch["nodes"]))
+            fps, parts = _flat(list(batch["fps"]))[0].view(np.uint64), _flat(list(batch["parts"]))[0]
+            asks = _flat(list(batch["asks"]))[0] > 0
+            lo, hi = (np.repeat(e, np.diff(ends)) for e in (ends[:-1], ends[1:]))
+            # Those who ask stand in the list twice if they are candidates of the tile as well.
+            q, out = np.flatnonzero(asks), []
+            other = np.flatnonzero(~asks)
+            at = np.searchsorted(other, ends)
+            lo, hi = (np.repeat(e, np.diff(ends))[q] for e in (at[:-1], at[1:]))
+            planes = planes_of(fps[other])
+            for i, j, far in close_pairs(fps[q], lo, hi, planes, RADIUS):
+                i, j = q[i], other[j]
+                apart = parts[i] != parts[j]
+                i, j, far = i[apart], j[apart], far[apart]
+                order = np.lexsort((nodes[j], far, parts[j], i))
+                i, j = i[order], j[order]
+                new = np.r_[True, (i[1:] != i[:-1]) | (parts[j[1:]] != parts[j[:-1]])] if len(i) else np.empty(0, bool)
+                starts = np.flatnonzero(new)
+                sizes = np.diff(np.r_[starts, len(i)])
+                place = np.arange(len(i)) - np.repeat(starts, sizes)
+                take = place < (len(i) if most is None else most)
+                cut = np.repeat(sizes, sizes) > (len(i) if most is None else most)
+                out.append((np.minimum(nodes[i], nodes[j])[take], np.maximum(nodes[i], nodes[j])[take], cut[take]))
+            yield pd.DataFrame({c: np.concatenate([x[n] for x in out]) if out else np.empty(0, t) for n, (c, t) in enumerate((("a", np.int64), ("b", np.int64), ("more", bool)))})
+
+    return run
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that are similar by whole sets."""
-    pairs = materialise(pairs.distinct(), "near-pairs")
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    found = texts.join(ids, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(found.select("node", F.array_distinct(shingle_hashes(F.col("text"), SHINGLE)).alias("s")), "near-sets")
     a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return materialise(pairs.join(a, "a").join(b, "b").where(DEN * both >= NUM * (F.size("x") + F.size("y") - both)).select("a", "b"), "near-edges")
+    size = F.size("x") + F.size("y")
+    could = DEN * F.least(F.size("x"), F.size("y")) >= NUM * F.greatest(F.size("x"), F.size("y"))
+    return materialise(pairs.join(a, "a").join(b, "b").where(could & (DEN * both >= NUM * (size - both))).select("a", "b"), "near-edges")
 
 
 def _labels(edges: DataFrame) -> DataFrame:
-    return components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-
-def near_components(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(node, component) for every node of ``texts`` (node, text) that is similar to another one."""
-    some = texts.where(F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(SAMPLE)) == 0).select(F.explode(F.array_distinct(shingle_hashes(F.col("text"), SHINGLE))).alias("h"))
-    often = some.groupBy("h").count().where(F.col("count") > max(crowd // SAMPLE, 2)).orderBy(F.desc("count"), "h").limit(COMMON)
-    common = np.array(sorted(r["h"] for r in often.select("h").collect()), np.int64)
-
-    over = Window.partitionBy("h")
-    shared = _prefixes(texts, common).select("*", F.min("node").over(over).alias("lo"), F.max("node").over(over).alias("hi")).where("lo < hi")
-    met = materialise(shared.select("h", "node", "n").distinct(), "near-met")
-    sizes = materialise(met.groupBy("h").count(), "near-sizes")
-
-    def across(rows: DataFrame) -> DataFrame:
-        a = rows.select("h", *(F.col(c).alias(f"{c}_a") for c in rows.columns if c != "h"))
-        b = rows.select("h", *(F.col(c).alias(f"{c}_b") for c in rows.columns if c != "h"))
-        fit = DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")
-        return a.join(b, "h").where(fit & (F.col("node_a") < F.col("node_b")))
-
-    few = met.join(sizes.where(F.col("count") <= crowd).select("h"), "h", "left_semi")
-    many = materialise(met.join(sizes.where(F.col("count") > crowd).select("h"), "h", "left_semi"), "near-many")
-    # Beyond the prefix shingles that both have, only what follows one of the prefixes can be common.
-    after = F.greatest(*((NUM * F.col(c) + (DEN - 1)) / DEN for c in ("n_a", "n_b"))).cast("long") - 1
-
-    def likely(rows: DataFrame, others: DataFrame, where: str = "true") -> DataFrame:
-        """(a, b): pairs of ``rows`` whose shared shingles, with all those of ``others``, leave the similarity possible."""
-        held = rows.join(others.groupBy("node").agg(F.count("*").alias("more")), "node", "left").withColumn("more", F.coalesce("more", F.lit(0)))
-        counted = across(held).where(where).groupBy("node_a", "node_b", "n_a", "n_b", "more_a", "more_b").count()
-        enough = (NUM + DEN) * (F.col("count") + F.least("more_a", "more_b") + after) >= NUM * (F.col("n_a") + F.col("n_b"))
-        return counted.where(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-    centres = many.groupBy("h").agg(F.min_by("node", F.xxhash64("h", "node")).alias("c"))
-    stars = many.join(centres, "h").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-    edges = _verified(texts, likely(few, many).union(stars))
+    return materialise(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-labels")
+
+
+def near_components(nodes: DataFrame, texts: DataFrame, tile: int = TILE, rounds: tuple = ROUNDS) -> DataFrame:
+    """(node, component) for every text that is similar to another one.
+
+    ``nodes``: (node, rep, fp, blocks), a row for each text; ``texts``: (node,
+    key, text) of all rows, of which those of the key ``rep`` are read.
+    """
+    keyed = nodes.select("node", "fp", F.explode("blocks").alias("block"))
+    sizes = materialise(keyed.groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("first")).where("n > 1"), "near-blocks")
+    met = materialise(keyed.join(sizes, "block"), "near-met")
+    there = materialise(met.select("node").distinct().join(nodes.select("node", "rep"), "node"), "near-there")
+    own = texts.join(_small(there), "node").where(F.col("key").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
+    sets = materialise(own.select("node", F.array_distinct(shingle_hashes(F.col("text"), SHINGLE)).alias("s")), "near-sets")
+
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    lists = (F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
+    groups = met.groupBy("block", F.pmod(F.xxhash64("node"), tiles).alias("tile")).agg(*lists).select("nodes", "fps")
+    firsts = met.where((F.col("n") > tile) & (F.col("node") != F.col("first.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= RADIUS))
+    near = groups.mapInPandas(_nearest, "a long, b long").union(firsts.select("first.node", "node"))
+    tried = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    edges = _verified(sets, tried)
     labels = _labels(edges)
-    if many.isEmpty():
-        return labels
-    told = many.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = told.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-    left = materialise(told.join(split, "h", "left_semi"), "near-told")
-    # Shingles whose texts are one component already may be common to a pair as well.
-    others = met.join(split, "h", "left_anti")
-    return _labels(edges.union(_verified(texts, likely(left, others, "component_a <> component_b"))))
-
-
-def keep(docs: DataFrame, text: str = "text", key: str = "doc_id", crowd: int = CROWD) -> DataFrame:
-    """One row of each component: that with the least id, or any one text of it if none has an id."""
-    texts = docs.select(node(text).alias("node"), text_of(text).alias("text"))
-    labels = materialise(near_components(texts, crowd), "near-labels")
-    nodes = docs.select(node(text).alias("node"), F.col(key).alias("key")).groupBy("node").agg(F.min("key").alias("rep"))
-    named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("m"))
-    at, rep, place = (fresh(x, docs) for x in ("node", "rep", "place"))
-    chosen = materialise(best.select(F.col("m.node").alias(at), F.col("m.rep").alias(rep)), "near-chosen")
-    rows = docs.withColumn(at, node(text))
-    kept = rows.join(chosen, (rows[at] == chosen[at]) & rows[key].eqNullSafe(chosen[rep]), "left_semi")
-    return kept.withColumn(place, F.row_number().over(Window.partitionBy(at).orderBy(F.xxhash64(text), *docs.columns))).where(F.col(place) == 1).select(docs.columns)
+    for most in rounds:
+        told = met.select("block", "node", "fp").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        told = materialise(told, "near-told")
+        parts = told.groupBy("block", "component").agg(F.count("*").alias("n"))
+        split = parts.groupBy("block").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        split = materialise(split.select("block", "n", F.col("most.component").alias("most"), (F.col("n") - F.col("most.n")).alias("few")), "near-split")
+        rows = told.join(split, "block").withColumn("xs", F.ceil(F.col("n") / tile).cast("int")).withColumn("ys", F.ceil(F.col("few") / tile).cast("int"))
+        place = F.xxhash64("node")
+        held = rows.withColumn("x", F.pmod(place, "xs").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).withColumn("asks", F.lit(0).cast("long"))
+        ask = rows.where("component <> most").withColumn("y", F.pmod(place, "ys").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1))).withColumn("asks", F.lit(1).cast("long"))
+        dealt = held.unionByName(ask).groupBy("block", "x", "y").agg(*lists, F.collect_list("component").alias("parts"), F.collect_list("asks").alias("asks"))
+        found = dealt.select("nodes", "fps", "parts", "asks").mapInPandas(_across(most), "a long, b long, more boolean")
+        found = materialise(found.groupBy("a", "b").agg(F.max("more").alias("more")), "near-across")
+        more = found.agg(F.max("more")).first()[0]
+        new = materialise(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "near-pairs")
+        if not new.isEmpty():
+            edges, tried = edges.union(_verified(sets, new)), tried.union(new)
+            labels = _labels(edges)
+        if not more:
+            break
+    return labels
+
+
+def keep(docs: DataFrame, text: str = "text", key: str = "doc_id", tile: int = TILE, rounds: tuple = ROUNDS) -> DataFrame:
+    """One row of each group: that with the least id, or any one text of it if none has an id."""
+    marked = materialise(_marked(docs, text, key), "near-marked")
+    each = marked.groupBy("node", "key").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"))
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n")).alias("m")
+    nodes = materialise(each.groupBy("node").agg(least, F.sum("n").alias("n"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks")).select("node", F.col("m.key").alias("rep"), F.col("m.n").alias("again"), "n", "fp", "blocks"), "near-nodes")
+    labels = near_components(nodes, docs.select(node(text).alias("node"), F.col(key).alias("key"), text_of(text).alias("text")), tile, rounds)
+    named = nodes.select("node", "rep", "again", "n").join(labels, "node", "left")
+    best = labels.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("m"))
+    at, rep, again, stays = (fresh(x, docs) for x in ("node", "rep", "again", "stays"))
+    stay = named.join(best.select(F.col("m.node").alias("node")).withColumn("best", F.lit(True)), "node", "left")
+    stay = stay.where((F.col("n") > 1) | F.col("component").isNotNull()).select(
+        F.col("node").alias(at), F.col("rep").alias(rep), (F.col("again") > 1).alias(again), (F.col("component").isNull() | F.col("best").isNotNull()).alias(stays)
+    )
+    # Texts that nothing else resembles need no row here, and most texts are such.
+    told = _small(materialise(stay, "near-stay"))
+    rows = docs.withColumn(at, node(text)).join(told, at, "left")
+    mine = F.col(stays) & rows[key].eqNullSafe(rows[rep])
+    single = rows.where(F.col(stays).isNull() | (mine & ~F.col(again))).select(docs.columns)
+    repeated = rows.where(mine & F.col(again)).groupBy(at).agg(F.min_by(F.struct(*(docs[c] for c in docs.columns)), F.xxhash64(*(docs[c] for c in docs.columns))).alias(at + "_row"))
+    return single.unionAll(repeated.select(*(F.col(f"{at}_row")[c].alias(c) for c in docs.columns)))

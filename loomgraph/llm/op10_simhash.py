@@ -5,17 +5,19 @@ shingle hashes. Equal fingerprints are one node. Two fingerprints within the
 radius of 2 agree on two of four 16-bit blocks at least, so they meet in one of
 six tables of buckets. A bucket's fingerprints are stored as 64 bit planes; a
 fingerprint is compared with 64 others per machine word: each plane's
-differences are added into carry-save counters, and a slab of candidates is
+differences are added into carry-save counters, and a word of candidates is
 abandoned as soon as every counter in it has passed the radius.
 
-Buckets over ``BUCKET`` fingerprints (a hot neighbourhood) are not compared
-pairwise. Their fingerprints meet exactly by another way: each is written with
-each of its 64 one-bit changes and itself; two fingerprints are within two bits
-if and only if they share one of these 65 values, no value can be shared by
-more than 65 of them, and all who share one within one bit of it are linked.
+A bucket over ``BUCKET`` fingerprints (a hot neighbourhood) is split by the same
+rule over the 32 bits that it leaves open, which gives parts of 65,536
+fingerprints at most; a part still over ``BUCKET`` is compared tile by tile.
 
-Only fingerprints that meet some other one are ever gathered, in groups of at
-most ``BUCKET``; components are found by distributed star contraction.
+Only fingerprints that meet some other one are ever gathered, in groups of about
+``BUCKET`` (a pair of tiles: twice that); components are found by distributed
+star contraction.
+
+``keep`` is the operator as a stage that removes near copies; it compares
+five-word shingles and is in ``near_copies``.
 
 Edge cases: a null text is an empty one; a text without words has the
 fingerprint zero and links like any other; with fewer words than a shingle has,
@@ -37,13 +39,15 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.textstats import let, text_of, words
 from loomgraph.operators.components import components
-from loomgraph.plans.storage import fresh, materialise, table
+from loomgraph.plans.storage import materialise, table
 
 SHINGLE, RADIUS = 3, 2
-#: Most fingerprints of a bucket that is compared by bit planes.
+#: Fingerprints of a bucket, or of a tile of a larger one, that are compared at once.
 BUCKET = 4096
-#: Shingle hashes expanded to bits at a time.
+#: Shingle hashes expanded to bits, or words of 64 candidates compared, at a time.
 _CHUNK = 1 << 17
+#: Two blocks of four that agree, and the two others.
+_SPLITS = [(i, j, *(x for x in range(4) if x not in (i, j))) for i, j in combinations(range(4), 2)]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,93 +115,117 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def within(fps: np.ndarray, planes: np.ndarray, radius: int = RADIUS, slab: int = 8) -> Iterator[tuple[int, np.ndarray]]:
-    """For each fingerprint, the later ones within ``radius`` (at most 3) bits.
+def close_pairs(queries: np.ndarray, lo: np.ndarray, hi: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in ``queries``, places among the candidates, differing bits) of the pairs within ``radius`` bits.
 
-    ``ones`` and ``twos`` count 0 to 3 differences per candidate by carry-save
-    addition and ``over`` keeps those that passed the radius. Slabs of ``slab``
-    machine words whose candidates are all over are left out of later planes.
+    Query i is compared with the candidates ``lo[i]`` to ``hi[i]``, 64 of them to
+    a machine word, all queries at once: a plane's differences are added into
+    carry-save counters, one word of each counter bit for 64 candidates, and a
+    word whose candidates all passed the radius is abandoned. Every turn takes
+    whole queries, ``_CHUNK`` words or one query at least.
     """
-    n, w = len(fps), planes.shape[1]
-    valid = np.zeros(w * 64, np.uint8)
-    valid[:n] = 1
-    outside = ~np.packbits(valid, bitorder="little").view(np.uint64)
-    for i in range(n):
-        first = (i + 1) // 64
-        live = np.arange(first, w)
-        if not len(live):
-            return
-        q = int(fps[i])
-        ones, twos, over = np.zeros(len(live), np.uint64), np.zeros(len(live), np.uint64), outside[live].copy()
+    bits = max(int(radius).bit_length(), 1)
+    first, words = lo // 64, np.maximum((hi + 63) // 64 - lo // 64, 0) * (hi > lo)
+    ends, i = np.cumsum(words), 0
+    while i < len(queries):
+        j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _CHUNK, side="right")), i + 1)
+        row = np.repeat(np.arange(i, j), words[i:j])
+        word = np.arange(len(row)) - np.repeat(np.cumsum(words[i:j]) - words[i:j], words[i:j]) + first[row]
+        i = j
+        outside = np.zeros(len(row), np.uint64)
+        start, stop = lo[row] - word * 64, hi[row] - word * 64
+        cut = start > 0
+        outside[cut] = (np.uint64(1) << start[cut].astype(np.uint64)) - np.uint64(1)
+        cut = stop < 64
+        outside[cut] |= ~((np.uint64(1) << stop[cut].astype(np.uint64)) - np.uint64(1))
+        counts = [np.zeros(len(row), np.uint64) for _ in range(bits)]
+        over = outside
         for b in range(64):
-            d = planes[b, live]
-            if q >> b & 1:
-                d = ~d
-            carry = ones & d
-            ones ^= d
-            over |= twos & carry  # a fourth difference
-            twos ^= carry
-            over |= (twos & ones) if radius == 2 else twos if radius == 1 else (twos | ones) if radius == 0 else np.uint64(0)
-            if b % 8 == 7 and b < 63:
-                pad = -len(live) % slab
-                done = (np.concatenate([over, np.full(pad, _ALL)]).reshape(-1, slab) == _ALL).all(axis=1)
-                if done.any():
-                    stay = ~np.repeat(done, slab)[: len(live)]
-                    live, ones, twos, over = live[stay], ones[stay], twos[stay], over[stay]
-                    if not len(live):
-                        break
-        if len(live):
-            hits = np.unpackbits((~over).view(np.uint8), bitorder="little").reshape(-1, 64)
-            at = (live[:, None] * 64 + np.arange(64))[hits == 1]
-            at = at[at > i]
-            if len(at):
-                yield i, at
+            carry = planes[b, word] ^ (np.uint64(0) - (queries[row] >> np.uint64(b) & np.uint64(1)))
+            for c in range(bits):
+                counts[c], carry = counts[c] ^ carry, counts[c] & carry
+            over = over | carry
+            if b % 8 == 7:
+                equal, more = ~over, over
+                for c in range(bits - 1, -1, -1):
+                    if radius >> c & 1:
+                        equal = equal & counts[c]
+                    else:
+                        more, equal = more | equal & counts[c], equal & ~counts[c]
+                stay = more != _ALL
+                if b == 63 or not stay.all():
+                    row, word, over = row[stay], word[stay], (more if b == 63 else over | more)[stay]
+                    counts = [c[stay] for c in counts]
+                if not len(row):
+                    break
+        if len(row):
+            at, lane = np.nonzero(np.unpackbits((~over).view(np.uint8), bitorder="little").reshape(-1, 64))
+            far = sum(((counts[c][at] >> lane.astype(np.uint64) & np.uint64(1)).astype(np.int64) << c for c in range(bits)), np.zeros(len(at), np.int64))
+            yield row[at], word[at] * 64 + lane, far
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Lists joined, and where each begins and the last one ends."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return (np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.empty(0, np.int64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Star edges of the groups that bit-sliced comparison finds in each bucket."""
+    """Edges that join what bit-sliced comparison finds linked in each bucket: each fingerprint and its first later neighbour, and those that this leaves apart."""
     for batch in batches:
-        us: list[np.ndarray] = []
-        vs: list[np.ndarray] = []
-        for held in batch["fps"]:
-            fps = np.sort(np.asarray(held, np.int64)).view(np.uint64)
-            root = np.arange(len(fps))
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for i, at in within(fps, planes_of(fps)):
-                for j in at:
-                    a, b = find(i), find(int(j))
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-            top = np.array([find(x) for x in range(len(fps))])
-            moved = np.flatnonzero(top != np.arange(len(fps)))
-            us.append(fps[moved].view(np.int64))
-            vs.append(fps[top[moved]].view(np.int64))
+        values, ends = _flat(list(batch["fps"]))
+        fps = values.view(np.uint64)
+        hi = np.repeat(ends[1:], np.diff(ends))
+        label, us, vs = np.arange(len(fps)), [], []
+        for i, j, _ in close_pairs(fps, np.arange(1, len(fps) + 1), hi, planes_of(fps)):
+            while len(i):
+                # Hook the larger label of every edge that is left to the smallest one it meets; each hook is an edge of a spanning forest.
+                a, b = np.maximum(label[i], label[j]), np.minimum(label[i], label[j])
+                order = np.lexsort((b, a))
+                new = order[np.r_[True, a[order][1:] != a[order][:-1]]]
+                new = new[a[new] != b[new]]
+                us.append(values[i[new]])
+                vs.append(values[j[new]])
+                label[a[new]] = b[new]
+                while (label != label[label]).any():
+                    label = label[label]
+                left = label[i] != label[j]
+                i, j = i[left], j[left]
         yield pd.DataFrame({"a": np.concatenate(us), "b": np.concatenate(vs)} if us else {"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
 
 
+def _met(keyed: DataFrame, label: str) -> DataFrame:
+    """Rows of ``keyed`` (key, fp) whose key several share, and how many (``n``)."""
+    sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-buckets")
+    return materialise(keyed.join(sizes, "key"), f"{label}-met")
+
+
+def _tables(value: Column, width: int) -> Column:
+    """Which two of its four blocks of ``width`` bits agree: six (table, key) of a value of 4 * ``width`` bits."""
+    mask = (1 << width) - 1
+    blocks = [F.shiftrightunsigned(value, width * i).bitwiseAND(F.lit(mask).cast("long")) for i in range(4)]
+    return F.array(*(F.struct(F.lit(t).alias("t"), (blocks[i] * (mask + 1) + blocks[j]).alias("k"), (blocks[x] * (mask + 1) + blocks[y]).alias("rest")) for t, (i, j, x, y) in enumerate(_SPLITS)))
+
+
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b): edges among the distinct fingerprints ``fp`` whose components are
     those of the graph of all pairs within two bits."""
-    blocks = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = [F.struct(F.lit(t).alias("t"), (blocks[i] * 65536 + blocks[j]).alias("k")) for t, (i, j) in enumerate(combinations(range(4), 2))]
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = materialise(keyed.groupBy("key").count().where("count > 1"), "simhash-buckets")
-    small, hot = sizes.where(F.col("count") <= bucket), sizes.where(F.col("count") > bucket)
-    met = materialise(keyed.join(small.select("key"), "key", "left_semi"), "simhash-met")
-    groups = met.groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
-    found = groups.mapInPandas(_bucket_links, "a bigint, b bigint")
-    # A hot bucket holds over ``bucket`` fingerprints; their one-bit changes meet instead.
-    crowd = materialise(keyed.join(hot.select("key"), "key", "left_semi").select("fp").distinct(), "simhash-crowd")
-    changes = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)))
-    shared = crowd.select("fp", F.explode(changes).alias("near")).groupBy("near").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    spread = shared.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a <> b").select("a", "b")
-    return found.union(spread).distinct()
+    keyed = fps.select("fp", F.explode(_tables(F.col("fp"), 16)).alias("x")).select("fp", F.struct("x.t", "x.k").alias("key"), F.col("x.rest").alias("rest"))
+    met = _met(keyed, "simhash")
+    # What a hot bucket leaves open is 32 bits; two that differ in two of them agree in two of four parts again.
+    parts = met.where(F.col("n") > bucket).select("fp", "key", F.explode(_tables(F.col("rest"), 8)).alias("x"))
+    finer = _met(parts.select("fp", F.struct("key", "x.t", "x.k").alias("key")), "simhash-finer")
+    # Such a part holds 2^16 fingerprints at most: tiles of it meet in pairs.
+    tiles = F.ceil(F.col("n") / bucket).cast("int")
+    at = finer.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    dealt = at.select("fp", F.col("key").alias("part"), "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiled = dealt.select("fp", F.struct("part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).alias("key"))
+    found = None
+    for rows in (met.where(F.col("n") <= bucket), tiled):
+        groups = rows.groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
+        one = groups.mapInPandas(_bucket_links, "a bigint, b bigint")
+        found = one if found is None else found.union(one)
+    return found.distinct()
 
 
 def _marked_and_named(docs: DataFrame, text: str, key: str, size: int, bucket: int) -> tuple[DataFrame, DataFrame]:
@@ -220,24 +248,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
 
 def keep(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each component: that with the least id, once if it is repeated.
+    """One row of each group of near copies: five-word shingles of Jaccard 0.8 or more (``near_copies``)."""
+    from loomgraph.llm import near_copies
 
-    If rows of that id differ, the row is of the component, and of its least
-    fingerprint. Rows without an id count as copies where their component has an
-    id; else one of each fingerprint stays.
-    """
-    marked, named = _marked_and_named(docs, text, key, SHINGLE, BUCKET)
-    fp = fresh("fp", docs)
-    best = named.where(F.col("rep") == F.col("component_id")).groupBy("component").agg(F.min("fp").alias(fp), F.first("rep").alias(key))
-    chosen = materialise(best.select(key, fp), "simhash-chosen")
-    # Only ids whose rows differ need the fingerprint again to tell them apart.
-    mixed = materialise(marked.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select(F.col("key").alias(key)), "simhash-mixed")
-    plain = docs.join(chosen.join(mixed, key, "left_anti").select(key), key, "left_semi").dropDuplicates([key]).select(docs.columns)
-    told = with_fingerprint(docs.join(mixed, key, "left_semi").select(docs.columns), text_of(text), fp)
-    firsts = plain.union(told.join(chosen, [key, fp], "left_semi").dropDuplicates([key, fp]).select(docs.columns))
-    alone = named.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp))
-    nameless = with_fingerprint(docs.where(F.col(key).isNull()), text_of(text), fp)
-    return firsts.union(nameless.join(alone, fp, "left_semi").dropDuplicates([fp]).select(docs.columns))
+    return near_copies.keep(docs, text, key)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -396,6 +396,7 @@ def test_simhash_fingerprints(spark, docs):
     assert got == {(r["doc_id"], _fingerprint(r["text"])) for r in docs.collect()}
     kept = simhash.keep(docs.withColumn("fp", F.lit(1)))
     assert kept.columns[-1] == "fp" and kept.where("text = 'same text here'").count() == 1 and kept.where("doc_id = 3").count() == 1
+    assert kept.where("trim(coalesce(text, '')) = ''").count() <= 2 and kept.where("doc_id = 0").count() == 1
     assert simhash.near_duplicates(empty(docs)).count() == 0 and simhash.keep(empty(docs)).count() == 0
 
 
@@ -406,9 +407,9 @@ def test_simhash_keep_tells_rows_of_one_id_apart(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, two), (3, three)])
 
 
-@pytest.mark.parametrize("bucket", [4096, 8])
+@pytest.mark.parametrize("bucket", [4096, 8, 2])
 def test_simhash_links(spark, bucket):
-    """With a small bucket the crowded neighbourhoods go the other way."""
+    """With a small bucket the crowded neighbourhoods are split and tiled."""
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(60)}
     for base in list(fps)[:8]:
@@ -438,11 +439,14 @@ def test_simhash_links(spark, bucket):
     assert {x: find(x) for x in fps} == want
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2, 3])
-def test_bit_sliced_comparison(radius):
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 11, 18])
+def test_bit_sliced_comparison(radius, monkeypatch):
+    monkeypatch.setattr(simhash, "_CHUNK", 7)
     rng = random.Random(radius)
     fps = [rng.getrandbits(64) for _ in range(130)]
-    fps += [x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for x in fps]
-    a = np.array(fps, np.uint64)
-    got = {(i, int(j)) for i, at in simhash.within(a, simhash.planes_of(a), radius) for j in at}
-    assert got == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= radius}
+    fps += [x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(2 * radius + 3))) for x in fps]
+    rng.shuffle(fps)
+    a, lo = np.array(fps, np.uint64), np.arange(1, len(fps) + 1)
+    hi = np.array([100] * 100 + [len(fps)] * 160)  # two groups
+    got = {(int(x), int(y), int(d)) for i, j, far in simhash.close_pairs(a, lo, hi, simhash.planes_of(a), radius) for x, y, d in zip(i, j, far)}
+    assert got == {(i, j, d) for i in range(len(fps)) for j in range(i + 1, hi[i]) if (d := (fps[i] ^ fps[j]).bit_count()) <= radius}
