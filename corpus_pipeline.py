@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import near_copies, op03_quality_rules, op06_packing, op08_gam_classifier
+from loomgraph.llm import op03_quality_rules, op06_packing, op08_gam_classifier, op10_simhash
 from loomgraph.plans.storage import materialise, table
 
 
@@ -21,8 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles and a Jaccard of 0.8, by an exact join: no SimHash radius that can be searched reaches that far."""
-    return near_copies.keep(docs)
+    """Bit-sliced SimHash at a wide radius, then an exact five-word Jaccard of 0.8."""
+    return op10_simhash.keep(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("quality classifier", quality_classifier),
-    ("near duplicates", near_duplicates),
+    ("simhash near duplicates", near_duplicates),
     ("packing", packing),
 ]
 
