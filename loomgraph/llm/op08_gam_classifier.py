@@ -166,17 +166,27 @@ def learnable(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 != 0, F.lit(False))
 
 
-def train(counted: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
-    """``counted``: key and the struct ``s`` of each labelled document, at least."""
-    truth = labels.where(F.col("quality").isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("quality"))
-    rows = (
-        counted.where(learnable(F.col(key)))
-        .join(truth, key)
-        .select(F.xxhash64(F.col(key)).alias("_order"), *features(F.col("s")), "quality")
-        .orderBy("_order", *FEATURES)
-        .limit(FIT_ROWS)
-        .toPandas()
-    )
+def labelled(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, quality): the least usable label of each document that may be learned from."""
+    usable = labels.where(F.col("quality").isin(0, 1) & learnable(F.col(key)))
+    return usable.groupBy(key).agg(F.min("quality").alias("quality"))
+
+
+def place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(7), key), F.lit(1 << 30))
+
+
+def some(rows: DataFrame, by: Column, n: int = FIT_ROWS) -> DataFrame:
+    """Rows of the ``n`` smallest hashes, and some more: what is left to sort does not grow with the input."""
+    count = rows.count()
+    share = min(1.0, 1.2 * (n + 100) / max(count, 1))
+    return rows.where(place(by) < int(share * (1 << 30)))
+
+
+def train(counted: DataFrame, truth: DataFrame, key: str = "doc_id") -> Model:
+    """``counted``: key and the struct ``s`` of each row that may be learned from, at least; ``truth``: ``labelled`` documents."""
+    joined = counted.join(truth, key).select(place(F.col(key)).alias("_order"), *features(F.col("s")), "quality")
+    rows = joined.orderBy("_order", *FEATURES).limit(FIT_ROWS).toPandas()
     return fit(rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy(float))
 
 
@@ -203,9 +213,11 @@ def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc
     Behind another filter ``docs`` may hold one label only, which teaches
     nothing; the unfiltered table belongs in ``learn_from`` then.
     """
-    ids = labels.where(F.col("quality").isNotNull()).select(key).distinct()
     source = docs if learn_from is None else learn_from
-    model = train(source.join(ids, key, "left_semi").select(key, stats(text_of(text)).alias("s")), labels, key)
+    truth = labelled(labels, key).join(source.select(key).distinct(), key, "left_semi")
+    truth = materialise(some(materialise(truth, "gam-truth"), F.col(key)), "gam-sample")
+    # Some 24,000 ids at most: only their texts are counted, and no text is shuffled.
+    model = train(source.join(F.broadcast(truth.select(key)), key, "left_semi").select(key, stats(text_of(text)).alias("s")), truth, key)
     s, score = fresh("s", docs), fresh("score", docs)
     return scored(docs.withColumn(s, stats(text_of(text))), s, model, score, cutoff).drop(score)
 
@@ -213,6 +225,7 @@ def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc
 def op8_gam_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", stats(text_of("text")).alias("s"))
     counted = materialise(docs, "gam-counts")
-    model = train(counted, table(spark, sf_dir, "labels"))
+    truth = materialise(labelled(table(spark, sf_dir, "labels")).join(counted.select("doc_id").distinct(), "doc_id", "left_semi"), "gam-truth")
+    model = train(counted, some(truth, F.col("doc_id")))
     found = scored(counted.withColumn("held_out", ~learnable(F.col("doc_id"))), "s", model, "score")
     return found.withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))
