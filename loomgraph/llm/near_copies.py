@@ -7,14 +7,15 @@ other blocks here: a text has ``BANDS`` keys, each made of the least values of
 share one of them with a chance of 0.9998. Within a block fingerprints are
 compared by bit planes as in ``op10_simhash``, at a radius of ``RADIUS``; what
 is within it is a candidate, and two texts are linked if their whole sets of
-shingles have the Jaccard.
+shingles have the Jaccard. A task has the sets of its block at hand, so only
+links are given back, and of those only what joins components: fewer than the
+block has texts. Candidates are held against each other nearest first, and those
+that are joined by then need not be. Blocks of the same texts are one.
 
-Only links that join components matter. First every text is held against its
-nearest neighbour in each block and a block's first text. Then, in the blocks
-that still hold several components, against its nearest few of every other
-component, then more of them, at last all: so no candidate is lost, and a large
-group of copies costs its size, not all its pairs. Blocks over ``TILE`` texts
-are dealt into tiles.
+A block over ``TILE`` texts or ``TILE_SHINGLES`` shingles is dealt into tiles,
+each with the block's first text, which costs its size. Where a large block
+still has several components, all its tiles meet those texts that are not in
+the largest one: so no candidate is lost.
 
 Edge cases: a null text is an empty one; texts of the same lower-cased words
 are one node; with fewer words than a shingle has, the whole sequence is the one
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.op10_simhash import _LOWER, _UPPER, _flat, _majority, close_pairs, planes_of, shingle_hashes
+from loomgraph.llm.op10_simhash import _LOWER, _UPPER, _majority, close_pairs, planes_of, shingle_hashes
 from loomgraph.llm.textstats import text_of, words
 from loomgraph.operators.components import components
 from loomgraph.plans.storage import fresh, materialise
@@ -41,10 +42,10 @@ from loomgraph.plans.storage import fresh, materialise
 SHINGLE, NUM, DEN = 5, 4, 5
 #: Keys of a text, hash functions of a key, and differing bits of a candidate.
 BANDS, BAND_ROWS, RADIUS = 16, 4, 18
-#: Texts of a block that one task compares at once.
-TILE = 4096
-#: Nearest neighbours of a text in another component that are held against it, round by round; None: all.
-ROUNDS = (2, 32, 512, None)
+#: Texts, and shingles, of a block that one task compares at once, about.
+TILE, TILE_SHINGLES = 4096, 4_000_000
+#: Candidates of a text that are held against it at first; then four times as many, and so on.
+FIRST_HELD = 16
 #: Most rows of a table of ids that is sent to all executors; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -81,8 +82,8 @@ def band_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(node, key, fp, blocks) of every row."""
-    schema = docs.select(node(text).alias("node"), F.col(key).alias("key"), F.lit(0).cast("long").alias("fp"), F.array().cast("array<long>").alias("blocks")).schema
+    """(node, key, fp, size, blocks) of every row; ``size`` counts shingles, repeats included."""
+    schema = docs.select(node(text).alias("node"), F.col(key).alias("key"), F.lit(0).cast("long").alias("fp"), F.lit(0).alias("size"), F.array().cast("array<long>").alias("blocks")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -94,7 +95,7 @@ def _marked(docs: DataFrame, text: str, key: str) -> DataFrame:
                 offsets = offsets - offsets[0]
                 keys = band_keys(values.view(np.uint64), offsets).view(np.int64)
                 blocks = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_majority(values, offsets).view(np.int64)), blocks], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_majority(values, offsets).view(np.int64)), pa.array(np.diff(offsets).astype(np.int32)), blocks], names=schema.names)
 
     return docs.select(node(text).alias("node"), F.col(key).alias("key"), shingle_hashes(text_of(text), SHINGLE).alias("s")).mapInArrow(run, schema)
 
@@ -104,117 +105,105 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(a, b): each text of a tile and its nearest later one."""
+def _links(nodes: np.ndarray, fps: np.ndarray, parts: np.ndarray | None, asks: np.ndarray | None, sizes: np.ndarray, flat: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the components (``parts``; without them every text is one) of a tile's texts.
+
+    Those who ask are held against those who do not; without ``asks`` all against all.
+    """
+    m = len(nodes)
+    ids = np.unique(flat, return_inverse=True)[1]
+    begin = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(flat) + 1, bool)
+    label = np.arange(m) if parts is None else np.unique(parts, return_inverse=True)[1]
+    if asks is None:
+        q, other, lo, hi = np.arange(m), np.arange(m), np.arange(1, m + 1), np.full(m, m)
+    else:
+        q, other = np.flatnonzero(asks), np.flatnonzero(~asks)
+        lo, hi = np.zeros(len(q), np.int64), np.full(len(q), len(other))
+    out: list[tuple[int, int]] = []
+    for i, j, far in close_pairs(fps[q], lo, hi, planes_of(fps[other]), RADIUS):
+        i, j = q[i], other[j]
+        could = (label[i] != label[j]) & (DEN * np.minimum(sizes[i], sizes[j]) >= NUM * np.maximum(sizes[i], sizes[j]))
+        i, j, far = i[could], j[could], far[could]
+        order = np.lexsort((far, i))
+        i, j = i[order], j[order]
+        for one, left in zip(i[np.r_[True, i[1:] != i[:-1]]] if len(i) else (), np.split(j, np.flatnonzero(np.diff(i)) + 1)):
+            own, held = ids[begin[one] : begin[one] + sizes[one]], FIRST_HELD
+            mark[own] = True
+            while len(left):
+                left = left[label[left] != label[one]]
+                some, left = left[:held], left[held:]
+                if len(some):
+                    n = sizes[some]
+                    at = np.arange(int(n.sum())) + np.repeat(begin[some] - np.cumsum(n) + n, n)
+                    both = np.add.reduceat(mark[ids[at]], np.cumsum(n) - n, dtype=np.int64)
+                    hits = some[DEN * both >= NUM * (sizes[one] + n - both)]
+                    for part, k in zip(*np.unique(label[hits], return_index=True)):
+                        out.append((int(nodes[one]), int(nodes[hits[k]])))
+                        label[label == part] = label[one]
+                held = min(held * 4, max(1, 2_000_000 // int(sizes[one] + 1)))
+            mark[own] = False
+    return out
+
+
+def _tile_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        nodes, ends = _flat(list(batch["nodes"]))
-        fps = _flat(list(batch["fps"]))[0].view(np.uint64)
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, j, far in close_pairs(fps, np.arange(1, len(fps) + 1), np.repeat(ends[1:], np.diff(ends)), planes_of(fps), RADIUS):
-            order = np.lexsort((j, far, i))
-            first = order[np.r_[True, i[order][1:] != i[order][:-1]]] if len(order) else order
-            us.append(nodes[i[first]])
-            vs.append(nodes[j[first]])
-        yield pd.DataFrame({"a": np.concatenate(us), "b": np.concatenate(vs)})
-
-
-def _across(most: int | None):
-    """Each text outside a block's largest component and its ``most`` nearest of every other component; ``more`` if there are others."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            nodes, ends = _flat(list(batch["nodes"]))
-            fps, parts = _flat(list(batch["fps"]))[0].view(np.uint64), _flat(list(batch["parts"]))[0]
-            asks = _flat(list(batch["asks"]))[0] > 0
-            lo, hi = (np.repeat(e, np.diff(ends)) for e in (ends[:-1], ends[1:]))
-            # Those who ask stand in the list twice if they are candidates of the tile as well.
-            q, out = np.flatnonzero(asks), []
-            other = np.flatnonzero(~asks)
-            at = np.searchsorted(other, ends)
-            lo, hi = (np.repeat(e, np.diff(ends))[q] for e in (at[:-1], at[1:]))
-            planes = planes_of(fps[other])
-            for i, j, far in close_pairs(fps[q], lo, hi, planes, RADIUS):
-                i, j = q[i], other[j]
-                apart = parts[i] != parts[j]
-                i, j, far = i[apart], j[apart], far[apart]
-                order = np.lexsort((nodes[j], far, parts[j], i))
-                i, j = i[order], j[order]
-                new = np.r_[True, (i[1:] != i[:-1]) | (parts[j[1:]] != parts[j[:-1]])] if len(i) else np.empty(0, bool)
-                starts = np.flatnonzero(new)
-                sizes = np.diff(np.r_[starts, len(i)])
-                place = np.arange(len(i)) - np.repeat(starts, sizes)
-                take = place < (len(i) if most is None else most)
-                cut = np.repeat(sizes, sizes) > (len(i) if most is None else most)
-                out.append((np.minimum(nodes[i], nodes[j])[take], np.maximum(nodes[i], nodes[j])[take], cut[take]))
-            yield pd.DataFrame({c: np.concatenate([x[n] for x in out]) if out else np.empty(0, t) for n, (c, t) in enumerate((("a", np.int64), ("b", np.int64), ("more", bool)))})
-
-    return run
-
-
-def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that are similar by whole sets."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    size = F.size("x") + F.size("y")
-    could = DEN * F.least(F.size("x"), F.size("y")) >= NUM * F.greatest(F.size("x"), F.size("y"))
-    return materialise(pairs.join(a, "a").join(b, "b").where(could & (DEN * both >= NUM * (size - both))).select("a", "b"), "near-edges")
+        found: list[tuple[int, int]] = []
+        for r in batch.itertuples(index=False):
+            parts, asks = (np.asarray(r.parts, np.int64), np.asarray(r.asks, bool)) if hasattr(r, "parts") else (None, None)
+            found += _links(np.asarray(r.nodes, np.int64), np.asarray(r.fps, np.int64).view(np.uint64), parts, asks, np.asarray(r.sizes, np.int64), np.asarray(r.flat, np.int64))
+        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
 def _labels(edges: DataFrame) -> DataFrame:
     return materialise(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-labels")
 
 
-def near_components(nodes: DataFrame, texts: DataFrame, tile: int = TILE, rounds: tuple = ROUNDS) -> DataFrame:
+def near_components(nodes: DataFrame, texts: DataFrame, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """(node, component) for every text that is similar to another one.
 
-    ``nodes``: (node, rep, fp, blocks), a row for each text; ``texts``: (node,
-    key, text) of all rows, of which those of the key ``rep`` are read.
+    ``nodes``: (node, rep, fp, size, blocks), a row for each text; ``texts``:
+    (node, key, text) of all rows, of which those of the key ``rep`` are read.
     """
-    keyed = nodes.select("node", "fp", F.explode("blocks").alias("block"))
-    sizes = materialise(keyed.groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("first")).where("n > 1"), "near-blocks")
-    met = materialise(keyed.join(sizes, "block"), "near-met")
-    there = materialise(met.select("node").distinct().join(nodes.select("node", "rep"), "node"), "near-there")
-    own = texts.join(_small(there), "node").where(F.col("key").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
-    sets = materialise(own.select("node", F.array_distinct(shingle_hashes(F.col("text"), SHINGLE)).alias("s")), "near-sets")
-
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    lists = (F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
-    groups = met.groupBy("block", F.pmod(F.xxhash64("node"), tiles).alias("tile")).agg(*lists).select("nodes", "fps")
-    firsts = met.where((F.col("n") > tile) & (F.col("node") != F.col("first.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= RADIUS))
-    near = groups.mapInPandas(_nearest, "a long, b long").union(firsts.select("first.node", "node"))
-    tried = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    edges = _verified(sets, tried)
+    keyed = nodes.select("node", "rep", "size", F.explode("blocks").alias("block"))
+    sizes = keyed.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("node").alias("first")).where("n > 1")
+    tiles = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("shingles") / tile_shingles)).cast("int")
+    met = materialise(keyed.join(materialise(sizes.withColumn("tiles", tiles), "near-blocks"), "block"), "near-met")
+    there = materialise(met.select("node", "rep").distinct(), "near-there")
+    own = texts.join(_small(there), "node").where(F.col("key").eqNullSafe(F.col("rep"))).select("node", shingle_hashes(F.col("text"), SHINGLE).alias("s"))
+    own = own.select("node", F.array_distinct("s").alias("s")).dropDuplicates(["node"])
+    sets = materialise(own.join(nodes.select("node", "fp"), "node"), "near-sets")
+    lists = (F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"), F.collect_list(F.size("s")).alias("sizes"), F.flatten(F.collect_list("s")).alias("flat"))
+
+    each = met.groupBy("block", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile")).agg(F.sort_array(F.array_union(F.collect_list("node"), F.array(F.first("first")))).alias("nodes"))
+    groups = materialise(each.select("nodes").where(F.size("nodes") > 1).distinct().select(F.xxhash64("nodes").alias("cell"), F.explode("nodes").alias("node")), "near-tiles")
+    edges = materialise(groups.join(sets, "node").groupBy("cell").agg(*lists).drop("cell").mapInPandas(_tile_links, "a long, b long").distinct(), "near-edges")
     labels = _labels(edges)
-    for most in rounds:
-        told = met.select("block", "node", "fp").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        told = materialise(told, "near-told")
-        parts = told.groupBy("block", "component").agg(F.count("*").alias("n"))
-        split = parts.groupBy("block").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        split = materialise(split.select("block", "n", F.col("most.component").alias("most"), (F.col("n") - F.col("most.n")).alias("few")), "near-split")
-        rows = told.join(split, "block").withColumn("xs", F.ceil(F.col("n") / tile).cast("int")).withColumn("ys", F.ceil(F.col("few") / tile).cast("int"))
-        place = F.xxhash64("node")
-        held = rows.withColumn("x", F.pmod(place, "xs").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).withColumn("asks", F.lit(0).cast("long"))
-        ask = rows.where("component <> most").withColumn("y", F.pmod(place, "ys").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1))).withColumn("asks", F.lit(1).cast("long"))
-        dealt = held.unionByName(ask).groupBy("block", "x", "y").agg(*lists, F.collect_list("component").alias("parts"), F.collect_list("asks").alias("asks"))
-        found = dealt.select("nodes", "fps", "parts", "asks").mapInPandas(_across(most), "a long, b long, more boolean")
-        found = materialise(found.groupBy("a", "b").agg(F.max("more").alias("more")), "near-across")
-        more = found.agg(F.max("more")).first()[0]
-        new = materialise(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "near-pairs")
-        if not new.isEmpty():
-            edges, tried = edges.union(_verified(sets, new)), tried.union(new)
-            labels = _labels(edges)
-        if not more:
-            break
-    return labels
-
-
-def keep(docs: DataFrame, text: str = "text", key: str = "doc_id", tile: int = TILE, rounds: tuple = ROUNDS) -> DataFrame:
+
+    large = met.where("tiles > 1").select("block", "node", "tiles")
+    if large.isEmpty():
+        return labels
+    told = materialise(large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-told")
+    parts = told.groupBy("block", "component").agg(F.count("*").alias("n"))
+    split = parts.groupBy("block").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
+    split = materialise(split.select("block", F.col("most.component").alias("most"), ((F.col("n") - F.col("most.n")) / F.col("n")).alias("few")), "near-split")
+    rows = told.join(split, "block").withColumn("ys", F.ceil(F.col("few") * F.col("tiles")).cast("int"))
+    place = F.xxhash64("node")
+    held = rows.withColumn("x", F.pmod(place, "tiles").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).withColumn("asks", F.lit(False))
+    ask = rows.where("component <> most").withColumn("y", F.pmod(place, "ys").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("asks", F.lit(True))
+    dealt = held.unionByName(ask).select("block", "x", "y", "node", "component", "asks").join(sets, "node")
+    across = dealt.groupBy("block", "x", "y").agg(*lists, F.collect_list("component").alias("parts"), F.collect_list("asks").alias("asks")).drop("block", "x", "y")
+    more = materialise(across.mapInPandas(_tile_links, "a long, b long").distinct(), "near-across")
+    return _labels(edges.union(more))
+
+
+def keep(docs: DataFrame, text: str = "text", key: str = "doc_id", tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """One row of each group: that with the least id, or any one text of it if none has an id."""
     marked = materialise(_marked(docs, text, key), "near-marked")
-    each = marked.groupBy("node", "key").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"))
+    each = marked.groupBy("node", "key").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "size", "blocks")))
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n")).alias("m")
-    nodes = materialise(each.groupBy("node").agg(least, F.sum("n").alias("n"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks")).select("node", F.col("m.key").alias("rep"), F.col("m.n").alias("again"), "n", "fp", "blocks"), "near-nodes")
-    labels = near_components(nodes, docs.select(node(text).alias("node"), F.col(key).alias("key"), text_of(text).alias("text")), tile, rounds)
+    nodes = materialise(each.groupBy("node").agg(least, F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("fp", "size", "blocks"))).select("node", F.col("m.key").alias("rep"), F.col("m.n").alias("again"), "n", "fp", "size", "blocks"), "near-nodes")
+    labels = near_components(nodes, docs.select(node(text).alias("node"), F.col(key).alias("key"), text_of(text).alias("text")), tile, tile_shingles)
     named = nodes.select("node", "rep", "again", "n").join(labels, "node", "left")
     best = labels.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("m"))
     at, rep, again, stays = (fresh(x, docs) for x in ("node", "rep", "again", "stays"))

@@ -69,7 +69,7 @@ def test_near_copies_equal_brute_force(spark, tile):
     pairs = [len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y)) for i, (_, x) in enumerate(rows) for _, y in rows[:i]]
     assert sum(0.8 <= p <= 0.95 for p in pairs) > 20 and sum(0.6 < p < 0.8 for p in pairs) > 20
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = corpus_pipeline.near_duplicates(spark, docs, "") if tile == near_copies.TILE else near_copies.keep(docs, tile=tile, rounds=(1, 2, None))
+    got = corpus_pipeline.near_duplicates(spark, docs, "") if tile == near_copies.TILE else near_copies.keep(docs, tile=tile)
     assert sorted(r["doc_id"] for r in got.collect()) == first_ids(rows)
 
 
@@ -91,7 +91,7 @@ def test_near_copies_in_one_large_group(spark):
     texts += [" ".join(changed(rng, words, n)) for n in (6, 8, 10, 12) for _ in range(10)]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(r["doc_id"] for r in near_copies.keep(docs, tile=16, rounds=(1, 4, None)).collect()) == first_ids(rows)
+    assert sorted(r["doc_id"] for r in near_copies.keep(docs, tile=16).collect()) == first_ids(rows)
 
 
 def test_band_keys_and_empty_runs():
