@@ -1,6 +1,8 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components: in one task up to a checked size, else by alternating large-star and small-star steps.
 
-Every step is a join of written tables and an aggregation that combines before
+A graph of at most ``SOLO_EDGES`` edges is 16 MB and costs one job instead of
+dozens of shuffles; the result is the same either way. Beyond that size
+every step is a join of written tables and an aggregation that combines before
 it shuffles; nothing gathers a component in one place. Hubs are no problem: the
 written tables let adaptive execution split the join at a hot vertex, and
 minima of neighbours combine on the map side.
@@ -8,11 +10,39 @@ minima of neighbours combine on the map side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.plans.storage import materialise
 
+#: Edges that one task may join up.
+SOLO_EDGES = 1_000_000
+
+
+def smallest_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least of the places 0 to n - 1 that each place is connected with."""
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
+    return label
+
+
+def _solo(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = [b.to_numpy(np.int64) for b in batches if len(b)]
+    if held:
+        nodes, at = np.unique(np.concatenate(held), return_inverse=True)
+        at = at.reshape(-1, 2)
+        yield pd.DataFrame({"node": nodes, "component": nodes[smallest_labels(len(nodes), at[:, 0], at[:, 1])]})
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Connect neighbours of each vertex u to the least vertex m around u.
@@ -29,7 +59,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, solo: int = SOLO_EDGES) -> DataFrame:
     """(node, component) for every vertex of ``edges`` (columns u, v).
 
     ``component`` is the least vertex id reachable. Self-loops alone and null
@@ -40,6 +70,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialise(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star-edges"
     )
+    if now.count() <= solo:
+        return now.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInPandas(_solo, "node long, component long")
     before = None
     for _ in range(max_rounds):
         # Settled once every vertex has one edge, to a vertex that has none of its own.

@@ -72,6 +72,7 @@ def test_series_writes(spark):
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (5, 5)], "u long, v long")
     found = as_dict(components(e), "node")
+    assert as_dict(components(e, solo=0), "node") == found
     assert all(found[i] == 0 for i in range(31)) and found[102] == 100 and len(found) == 34
 
 
