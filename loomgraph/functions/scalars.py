@@ -87,7 +87,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "instr": lambda s, x: F.position(x, s), "findstr": lambda s, x: F.position(x, s),
     "isblank": lambda s: F.trim(F.coalesce(s, F.lit(""))) == "", "isnotblank": lambda s: F.trim(F.coalesce(s, F.lit(""))) != "",
     # numbers
-    "abs": F.abs, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "round": lambda x, n=None: F.round(x.cast("double"), 0).cast("double"),
+    "abs": F.abs, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "round": lambda x, n=None: F.round(x.cast("double"), 0 if n is None else n.cast("int")).cast("double"),
     "sign": lambda x: F.signum(x).cast("int"), "sqrt": F.sqrt, "log": F.log, "ln": F.log, "exp": F.exp, "rand": F.rand, "mod": lambda a, b: a % b, "pow": F.pow, "power": F.pow,
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "pi": F.pi, "e": F.e, "degrees": F.degrees, "radians": F.radians,
     "tofloat": lambda x: x.cast("double"), "todouble": lambda x: x.cast("double"), "toboolean": lambda x: F.lower(x.cast("string")).cast("boolean"), "tobool": lambda x: F.lower(x.cast("string")).cast("boolean"),

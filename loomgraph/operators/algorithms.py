@@ -223,16 +223,20 @@ def khop(edges: DataFrame, root, k: int) -> DataFrame:
 
 
 def dimension_estimation(edges: DataFrame, roots: list) -> int:
-    """Greatest depth of breadth-first searches from up to 64 roots, edges both ways."""
-    found = distances(both_ways(edges.select("src", "dst")), edges.sparkSession.createDataFrame([(r,) for r in roots[:64]], "id long"), per_root=True)
+    """Greatest depth of breadth-first searches from the roots, edges both ways."""
+    found = distances(both_ways(edges.select("src", "dst")), edges.sparkSession.createDataFrame([(r,) for r in roots], "id long"), per_root=True)
     return int(found.agg(F.max("dist")).first()[0] or 0)
 
 
 def closeness(edges: DataFrame, roots: list | None = None) -> DataFrame:
-    """(id, score): vertices that ``id`` reaches over their summed distance; exact for the roots given."""
+    """(id, score): roots that ``id`` reaches, over its summed (weighted) distance to them.
+
+    All vertices are roots by default, which is exact and as large as all pairs.
+    A vertex that reaches no root but itself has no row.
+    """
     start = edges.sparkSession.createDataFrame([(r,) for r in roots], "id long") if roots is not None else ids_of(edges)
-    d = distances(edges.select("src", "dst"), start, per_root=True).where("root <> id")
-    return d.groupBy(F.col("root").alias("id")).agg((F.count("*") / F.sum("dist")).alias("score"))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(["weight"] if "weight" in edges.columns else []))
+    return distances(back, start, per_root=True).where("root <> id").groupBy("id").agg((F.count("*") / F.sum("dist")).alias("score"))
 
 
 def betweenness(edges: DataFrame, roots: list | None = None) -> DataFrame:

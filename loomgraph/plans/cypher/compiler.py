@@ -26,7 +26,7 @@ from loomgraph.operators import procedures
 from loomgraph.plans.cypher.parser import UPDATES, Clause, CypherError, Node, Path, Rel
 from loomgraph.plans.graph import SchemaError
 
-#: Hops of an unbounded pattern.
+#: Hops after which an unbounded pattern that still grows is an error.
 MAX_HOPS = 128
 AGGREGATES = frozenset("count sum avg max min collect percentilecont percentiledisc stdev stdevp variance variancep group_concat".split())
 
@@ -122,7 +122,7 @@ class Compiler:
         env = {**env, **{b: Var("value", fresh[b]) for _, b in yields}}
         df = found if df is None else df.crossJoin(found)
         if c.data["where"]:
-            df = df.where(self.truth(c.data["where"], env, df))
+            df = df.where(self.condition(c.data["where"], env, df))
         return df, env
 
     # -- patterns -----------------------------------------------------------
@@ -141,7 +141,7 @@ class Compiler:
             if subquery and not c.data["optional"]:
                 df = df.join(pattern, self.all_of(links), "inner") if links else df.crossJoin(pattern)
             else:
-                on = [*links, *(self.truth(w, scope, None) for w in where)]
+                on = [*links, *(self.condition(w, scope, None) for w in where)]
                 how = "left" if c.data["optional"] else "inner"
                 df = df.join(pattern, self.all_of(on), how) if on else (df.join(pattern, F.lit(True), "left") if how == "left" else df.crossJoin(pattern))
                 where = None
@@ -216,7 +216,7 @@ class Compiler:
         rest = []
         for w in self.split_and(where):
             if self.free(w) <= set(mine) and not self.has_pattern(w):
-                df = df.where(self.truth(w, mine, df))
+                df = df.where(self.condition(w, mine, df))
             else:
                 rest.append(w)
         return df, own, shared, rest
@@ -252,7 +252,7 @@ class Compiler:
                 raise SchemaError(f"{'|'.join(labels) or 'the graph'} has no property {k}")
             df = df.where(self.col(v.props[k]) == self.expr(e, {}, df))
         if where is not None:
-            df = df.where(self.truth(where, {name: v}, df))
+            df = df.where(self.condition(where, {name: v}, df))
         return df
 
     def edge_table(self, r: Rel) -> tuple[DataFrame, list[str]]:
@@ -385,6 +385,8 @@ class Compiler:
                 now = held.select(*(F.col(x).alias(c) for c, x in plain.items()))
                 if held.limit(1).count() == 0:
                     break
+                if k == MAX_HOPS:
+                    raise CypherError(f"an unbounded pattern still grows after {MAX_HOPS} hops; give it a bound")
             if k >= low:
                 out = now if out is None else out.union(now)
         if out is None:
@@ -567,9 +569,9 @@ class Compiler:
                 df = self.semi(df, w[1][1] if negative else w[1], env, "left_anti" if negative else "left_semi")
             elif self.has_pattern(w):
                 more, items = self.flags(df, env, [(w, "#w")])
-                df = more.where(self.truth(items[0][0], env, more)).select(*(self.col(c) for c in df.columns))
+                df = more.where(self.condition(items[0][0], env, more)).select(*(self.col(c) for c in df.columns))
             else:
-                df = df.where(self.truth(w, env, df))
+                df = df.where(self.condition(w, env, df))
         return df
 
     def semi(self, df: DataFrame, p: Path, env: Env, how: str) -> DataFrame:
@@ -600,12 +602,15 @@ class Compiler:
                     if e[0] == "pattern_comprehension":
                         scope = {**own}
                         if e[2]:
-                            part = part.where(self.truth(e[2], scope, part))
+                            part = part.where(self.condition(e[2], scope, part))
                         side = part.groupBy(*(self.col(own[k].column).alias(x) for k, x in zip(shared, ids))).agg(F.collect_list(self.expr(e[3], scope, part)).alias(made[e]))
                     else:
                         side = part.select(*(self.col(own[k].column).alias(x) for k, x in zip(shared, ids))).distinct().withColumn(made[e], F.lit(True))
                     columns = df.columns
-                    df = df.join(side, self.all_of([self.col(env[k].column) == self.col(x) for k, x in zip(shared, ids)]), "left").select(*(self.col(c) for c in columns), self.col(made[e]))
+                    value = self.col(made[e])
+                    if e[0] == "pattern_comprehension":
+                        value = F.coalesce(value, F.array().cast(side.schema[made[e]].dataType)).alias(made[e])
+                    df = df.join(side, self.all_of([self.col(env[k].column) == self.col(x) for k, x in zip(shared, ids)]), "left").select(*(self.col(c) for c in columns), value)
                 return ("flag", made[e]) if e[0] == "pattern" else ("column", made[e])
             return tuple(lift(x) if isinstance(x, tuple) else x for x in e)
 
@@ -657,6 +662,10 @@ class Compiler:
             return {k: self.constant(x) for k, x in e[1]}
         raise CypherError("a constant is needed here")
 
+    def condition(self, e: tuple, env: Env, df: DataFrame | None) -> Column:
+        """For filters and joins, which drop a null by themselves: bare, so that scans can use it."""
+        return self.expr(e, env, df).cast("boolean")
+
     def truth(self, e: tuple, env: Env, df: DataFrame | None) -> Column:
         return F.coalesce(self.expr(e, env, df).cast("boolean"), F.lit(False))
 

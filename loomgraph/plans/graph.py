@@ -13,6 +13,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans.storage import materialise
+
 VERTEX_COLUMNS = ("_vid",)
 EDGE_COLUMNS = ("_src", "_dst", "_eid", "_tid")
 
@@ -93,12 +95,10 @@ class Graph:
         return Graph({}, {})
 
     def with_vertices(self, label: str, df: DataFrame, primary: str | None = None, unique: tuple[str, ...] = ()) -> Graph:
-        """Add or replace a vertex label. Without ``_vid`` rows get ids that are
-        unique in the graph and stable for the table's primary key order only
-        within one computation; give ``_vid`` where ids have to last."""
+        """Add or replace a vertex label. Rows without ``_vid`` are numbered past
+        the graph's greatest id and written down, so the numbers stay."""
         if "_vid" not in df.columns:
-            offset = len(self.vertices) << 36
-            df = df.withColumn("_vid", F.monotonically_increasing_id() + offset)
+            df = materialise(df.withColumn("_vid", F.monotonically_increasing_id() + self.top_id() + 1), "vertices")
         return replace(self, vertices={**self.vertices, label: df}, vertex_labels={**self.vertex_labels, label: VertexLabel(label, primary, unique)})
 
     def with_edges(self, label: str, df: DataFrame, constraints: tuple[tuple[str, str], ...] = (), temporal: str | None = None) -> Graph:
@@ -144,6 +144,11 @@ class Graph:
         e = self.all_edges(labels)
         return e.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), *([F.col(weight).cast("double").alias("weight")] if weight else []))
 
+    def top_id(self) -> int:
+        """The greatest vertex id, -1 if there is none."""
+        tops = [v.agg(F.max("_vid")).first()[0] for v in self.vertices.values()]
+        return max((t for t in tops if t is not None), default=-1)
+
     def ids(self, labels: list[str] | None = None) -> DataFrame:
         return self.all_vertices(labels).select(F.col("_vid").alias("id"))
 
@@ -190,8 +195,7 @@ class Graph:
         for name, value in (on_match or {}).items():
             seen = seen.withColumn(name, F.when(F.col("_hit"), value).otherwise(F.col(name)).cast(old.schema[name].dataType))
         fresh = new.join(old.select(F.col(key)), key, "left_anti").withColumns(dict(on_create or {}))
-        top = old.agg(F.coalesce(F.max("_vid"), F.lit(-1)).alias("_top"))
-        fresh = fresh.withColumn("_vid", F.monotonically_increasing_id()).join(F.broadcast(top)).withColumn("_vid", F.col("_vid") + F.col("_top") + 1).drop("_top")
+        fresh = materialise(fresh.withColumn("_vid", F.monotonically_increasing_id() + self.top_id() + 1), "vertices")
         return replace(self, vertices={**self.vertices, label: seen.drop("_key", "_hit").unionByName(fresh.select(*[c for c in fresh.columns if c in old.columns]), allowMissingColumns=True)})
 
     def subgraph(self, ids: list[int]) -> Graph:

@@ -117,11 +117,11 @@ CYPHER = {
         "SELECT c_custkey AS c, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey",
     ),
     "exists_pattern": ("MATCH (c:Customer) WHERE exists((c)-[:PLACED]->(:Orders {o_orderstatus: 'P'})) RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
-    "not_exists_pattern": ("MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->() RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "not_exists_pattern": ("MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->(:Orders {o_orderstatus: 'P'}) RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
     "pattern_as_value": ("MATCH (p:Part) RETURN p.p_partkey AS p, exists((:Supplier)-[:SUPPLIES]->(p)) AS supplied", "SELECT p_partkey AS p, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) AS supplied FROM part"),
     "pattern_comprehension": (
         "MATCH (n:Nation) RETURN n.n_nationkey AS n, size([(n)<-[:BASED_IN]-(s:Supplier) | s.s_suppkey]) AS suppliers",
-        "SELECT n_nationkey AS n, CASE WHEN count(s_suppkey) = 0 THEN NULL ELSE CAST(count(s_suppkey) AS INTEGER) END AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey",
+        "SELECT n_nationkey AS n, CAST(count(s_suppkey) AS INTEGER) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey",
     ),
     "theta_join": ("MATCH (a:Nation), (b:Nation) WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey RETURN a.n_name AS a, b.n_name AS b", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
     "cartesian_product": ("MATCH (a:Region), (b:Region) RETURN a.r_name AS a, b.r_name AS b", "SELECT a.r_name AS a, b.r_name AS b FROM region a, region b"),
@@ -145,7 +145,7 @@ CYPHER = {
     "distinct_rows": ("MATCH (c:Customer) RETURN DISTINCT c.c_mktsegment AS seg, c.c_nationkey AS n", "SELECT DISTINCT c_mktsegment AS seg, c_nationkey AS n FROM customer"),
     "union_all": ("MATCH (c:Customer) RETURN c.c_nationkey AS n UNION ALL MATCH (s:Supplier) RETURN s.s_nationkey AS n", "SELECT c_nationkey AS n FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
     "intersect_keys": ("MATCH (c:Customer) RETURN c.c_nationkey AS n INTERSECT MATCH (s:Supplier) RETURN s.s_nationkey AS n", "SELECT c_nationkey AS n FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
-    "except_keys": ("MATCH (p:Part) RETURN p.p_partkey AS n EXCEPT MATCH (:Supplier)-[:SUPPLIES]->(p:Part) RETURN p.p_partkey AS n", "SELECT p_partkey AS n FROM part EXCEPT SELECT l_partkey FROM lineitem"),
+    "except_keys": ("MATCH (p:Part) RETURN p.p_partkey AS n EXCEPT MATCH (:Supplier)-[:SUPPLIES]->(p:Part) WHERE p.p_size > 25 RETURN p.p_partkey AS n", "SELECT p_partkey AS n FROM part EXCEPT SELECT l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25"),
     "unwind_list": ("UNWIND range(1, 5) AS x RETURN x AS x, x * x AS sq", "SELECT CAST(x AS INTEGER) AS x, CAST(x * x AS INTEGER) AS sq FROM range(1, 6) t(x)"),
     "string_predicates": ("MATCH (p:Part) WHERE p.p_type STARTS WITH 'S' OR p.p_brand ENDS WITH '3' OR p.p_name CONTAINS 'ab' OR p.p_name =~ '.*1' RETURN p.p_partkey AS p", "SELECT p_partkey AS p FROM part WHERE starts_with(p_type, 'S') OR ends_with(p_brand, '3') OR contains(p_name, 'ab') OR regexp_full_match(p_name, '.*1')"),
     "string_functions": (
@@ -156,6 +156,7 @@ CYPHER = {
         "MATCH (p:Part) RETURN p.p_partkey AS k, abs(p.p_size - 25) AS a, ceil(p.p_retailprice) AS c, floor(p.p_retailprice) AS f, sign(p.p_size - 25) AS s, p.p_size % 7 AS m, p.p_size ^ 2 AS sq, toInteger(p.p_retailprice) AS i",
         "SELECT p_partkey AS k, abs(p_size - 25) AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, CAST(sign(p_size - 25) AS INTEGER) AS s, p_size % 7 AS m, pow(p_size, 2) AS sq, CAST(trunc(p_retailprice) AS BIGINT) AS i FROM part",
     ),
+    "round_digits": ("MATCH (p:Part) RETURN p.p_partkey AS k, round(p.p_retailprice / 7, 2) AS two, round(p.p_retailprice / 7) AS whole", "SELECT p_partkey AS k, round(p_retailprice / 7, 2) AS two, round(p_retailprice / 7) AS whole FROM part"),
     "list_functions": (
         "MATCH (p:Part) WITH p.p_partkey AS k, [p.p_size, 3, 1] AS xs RETURN k AS k, head(xs) AS h, last(xs) AS l, xs[-2] AS m, size(xs[1..]) AS n, size([x IN xs WHERE x > 2 | x * 2]) AS big, any(x IN xs WHERE x = 3) AS three, isDesc(xs) AS d, hasDuplicates(xs) AS dup",
         "SELECT p_partkey AS k, p_size AS h, 1 AS l, 3 AS m, 2 AS n, CAST((p_size > 2)::INT + 1 AS INTEGER) AS big, true AS three, p_size > 3 AS d, p_size IN (1, 3) AS dup FROM part",
@@ -216,8 +217,8 @@ SERIES = {
     "series_count": ("MATCH (u:User) RETURN u.user_id AS u, series.count(u, 'readings') AS n", f"WITH {S_SQL} SELECT user_id AS u, count(*) AS n FROM s GROUP BY user_id"),
     "series_latest": ("MATCH (u:User) RETURN u.user_id AS u, series.latest(u, 'readings').value AS v", f"WITH {S_SQL} SELECT user_id AS u, arg_max(value, ts) AS v FROM s GROUP BY user_id"),
     "series_aggregates": (
-        "MATCH (u:User) RETURN u.user_id AS u, series.min(u, 'readings', 'value') AS lo, series.max(u, 'readings', 'value') AS hi, round(series.sum(u, 'readings', 'value')) AS s",
-        f"WITH {S_SQL} SELECT user_id AS u, min(value) AS lo, max(value) AS hi, round(sum(value)) AS s FROM s GROUP BY user_id",
+        "MATCH (u:User) RETURN u.user_id AS u, series.min(u, 'readings', 'value') AS lo, series.max(u, 'readings', 'value') AS hi, round(series.sum(u, 'readings', 'value'), 4) AS s",
+        f"WITH {S_SQL} SELECT user_id AS u, min(value) AS lo, max(value) AS hi, round(sum(value), 4) AS s FROM s GROUP BY user_id",
     ),
     "series_window": (
         "MATCH (u:User) RETURN u.user_id AS u, size(series.range(u, 'readings', datetime('2024-01-05 00:00:00'), datetime('2024-01-20 00:00:00'))) AS n",
@@ -308,9 +309,15 @@ ALGORITHMS: dict[str, tuple[Callable, str | None]] = {
     "algo_mis": (lambda s, d: A.maximal_independent_set(part_ids(s, d), part_edges(s, d)), None),
     "algo_spsp": (lambda s, d: s.createDataFrame([(A.spsp(part_edges(s, d), 1, 2),)], "hops long"), None),
     "algo_all_shortest_paths": (lambda s, d: A.all_shortest_paths(part_edges(s, d), 1, 2).select(F.size("nodes").alias("n"), "cost"), None),
-    "algo_closeness": (lambda s, d: _round(A.closeness(part_edges(s, d), [1, 2]), "score"), None),
+    "algo_closeness": (
+        lambda s, d: _round(A.closeness(part_edges(s, d).drop("weight"), [1, 2]), "score"),
+        f"WITH RECURSIVE {E_SQL}, f AS (SELECT DISTINCT src, dst FROM e), r AS (SELECT unnest([1, 2])::BIGINT AS root, unnest([1, 2])::BIGINT AS id, 0 AS depth UNION SELECT root, src, depth + 1 FROM r JOIN f ON dst = id WHERE depth < 20), d AS (SELECT root, id, min(depth) AS dist FROM r GROUP BY root, id) SELECT id, round(count(*) / sum(dist)::DOUBLE, 9) AS score FROM d WHERE root <> id GROUP BY id",
+    ),
     "algo_betweenness": (lambda s, d: _round(A.betweenness(part_edges(s, d), [1, 2]), "score"), None),
-    "algo_dimension": (lambda s, d: s.createDataFrame([(A.dimension_estimation(part_edges(s, d), [1, 2]),)], "depth long"), None),
+    "algo_dimension": (
+        lambda s, d: s.createDataFrame([(A.dimension_estimation(part_edges(s, d), [1, 2]),)], "depth long"),
+        f"WITH RECURSIVE {U_SQL}, r AS (SELECT unnest([1, 2])::BIGINT AS root, unnest([1, 2])::BIGINT AS id, 0 AS depth UNION SELECT root, b, depth + 1 FROM r JOIN u ON a = id WHERE depth < 20) SELECT CAST(max(dist) AS BIGINT) AS depth FROM (SELECT root, id, min(depth) AS dist FROM r GROUP BY root, id)",
+    ),
     "algo_apsp_nations": (lambda s, d: A.apsp(trade_graph(s, d).pairs(["IN_REGION", "BASED_IN"])).select("root", "id", F.col("dist").cast("long").alias("dist")), f"SELECT s_suppkey + {3 * STEP} AS root, s_nationkey + {STEP} AS id, 1 AS dist FROM supplier UNION ALL SELECT s_suppkey + {3 * STEP}, n_regionkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_nationkey + {STEP}, n_regionkey, 1 FROM nation"),
     "algo_belief": (lambda s, d: _round(A.belief_propagation(part_ids(s, d).withColumn("prior", F.when(F.col("id") % 2 == 0, 0.6).otherwise(0.4)), part_edges(s, d), 2), "belief"), None),
     "sample_neighbours": (lambda s, d: sampling.neighbours(part_edges(s, d), part_ids(s, d), 5), None),

@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.plans.storage import materialise
 from loomgraph.plans.graph import Graph, SchemaError
 
 #: Type names of a schema description.
@@ -50,8 +51,9 @@ def read_json_lines(spark: SparkSession, path: str, columns: list[str]) -> DataF
 def import_graph(spark: SparkSession, config: Mapping | str, continue_on_error: bool = False) -> tuple[Graph, DataFrame | None]:
     """(graph, rejected rows) from ``{"schema": [...], "files": [...]}``.
 
-    Without ``continue_on_error`` a value that does not fit its type and an edge
-    end that does not exist raise when the graph is read; with it such rows go
+    Without ``continue_on_error`` a vertex value that does not fit its type raises
+    at once, an edge value or an edge end that does not exist when the graph is
+    read; with it such rows go
     to the second result: (label, row, reason).
     """
     conf = json.loads(config) if isinstance(config, str) else config
@@ -131,5 +133,7 @@ def read_edge_list(spark: SparkSession, path: str, weighted: bool = False, strin
     if not string_ids:
         return rows.select(get(0).cast("long").alias("src"), get(1).cast("long").alias("dst"), *weight), None
     raw = rows.select(get(0).alias("a"), get(1).alias("b"), *weight)
-    names = raw.select(F.col("a").alias("name")).union(raw.select(F.col("b").alias("name"))).distinct().withColumn("id", F.xxhash64("name"))
-    return raw.select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"), *(["weight"] if weighted else [])), names
+    names = raw.select(F.col("a").alias("name")).union(raw.select(F.col("b").alias("name"))).distinct()
+    names = materialise(names.withColumn("id", F.monotonically_increasing_id()), "names")
+    out = raw.join(names.select(F.col("name").alias("a"), F.col("id").alias("src")), "a").join(names.select(F.col("name").alias("b"), F.col("id").alias("dst")), "b")
+    return out.select("src", "dst", *(["weight"] if weighted else [])), names
