@@ -61,12 +61,17 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
         return draws
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, draws))
-    # Beyond numpy's range: split the draws, each part from what the last left.
-    half = draws // 2
-    if half == 0:
-        return int(rng.random() * (good + bad) < good)
-    first = _hypergeometric(rng, good, bad, half)
-    return first + _hypergeometric(rng, good - first, bad - (half - first), draws - half)
+    # Beyond numpy's range: the law's own ratios, from the likeliest count outward by 40 standard deviations.
+    total = good + bad
+    mode = (draws + 1) * (good + 1) // (total + 2)
+    span = 10 + int(40 * (draws * (good / total) * (bad / total) * ((total - draws) / (total - 1))) ** 0.5)
+    lo, hi = max(0, draws - bad, mode - span), min(draws, good, mode + span)
+    x = np.arange(mode, hi, dtype=float)
+    up = np.cumprod((good - x) * (draws - x) / ((x + 1) * (bad - draws + x + 1)))
+    x = np.arange(mode, lo, -1, dtype=float)
+    down = np.cumprod(x * (bad - draws + x) / ((good - x + 1) * (draws - x + 1)))
+    chances = np.cumsum(np.concatenate([down[::-1], [1.0], up]))
+    return lo + int(np.searchsorted(chances, rng.random() * chances[-1], side="right"))
 
 
 def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
