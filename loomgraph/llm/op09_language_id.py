@@ -39,6 +39,14 @@ SALTS = 64
 #: Code points handled at a time.
 PIECE = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Signs such as ½ or Ⅷ are words to a pattern but no letters."""
+    first = _LETTER.search(text)
+    return first is not None and (first.group().isalpha() or any(map(str.isalpha, set(text))))
+
+
 _SPACES = re.compile(r"\s+")
 
 
@@ -84,7 +92,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Best language and its calibrated probability for whole texts."""
         n, k = len(texts), len(self.langs)
-        known = [t is not None and k > 0 and _LETTER.search(t) is not None for t in texts]
+        known = [t is not None and k > 0 and has_letter(t) for t in texts]
         z, size = np.zeros((n, max(k, 1))), np.zeros(n)
         rows = [i for i in range(n) if known[i]]
         for j, points in _pieces([texts[i] for i in rows]):
@@ -192,19 +200,22 @@ def document_frequencies(docs: DataFrame, text: str = "text", key: str = "doc_id
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     own = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where(learnable(F.col("k")) & F.col("l").isNotNull() & F.col("t").isNotNull())
     # A language may hold most rows: the first ranking splits each into SALTS parts, the second sees few rows.
-    order = [F.xxhash64("k"), F.col("k")]
+    # Rows are ranked, not ids: an id may repeat any number of times.
+    own = own.withColumn("h", F.xxhash64("t"))
+    order = [F.xxhash64("k"), F.col("k"), F.col("h")]
     part = F.row_number().over(Window.partitionBy("l", "s").orderBy(*order))
-    few = own.select("k", "l", F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(SALTS)).alias("s")).withColumn("r", part).where(F.col("r") <= FIT_PER_LANG)
+    few = own.select("k", "l", "h", F.pmod(F.xxhash64(F.lit(1), "k", "h"), F.lit(SALTS)).alias("s")).withColumn("r", part).where(F.col("r") <= FIT_PER_LANG)
     rank = F.row_number().over(Window.partitionBy("l").orderBy(*order))
-    chosen = few.select("k", "l").withColumn("r", rank).where(F.col("r") <= FIT_PER_LANG).select("k", "l").distinct()
+    chosen = few.select("k", "l", "h").withColumn("r", rank).where(F.col("r") <= FIT_PER_LANG).select("k", "l", "h").distinct()
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(*counts(t), name) for t, name in zip(b["t"], b["l"])]
             yield pd.DataFrame({"at": [r[0] for r in rows], "share": [r[1] for r in rows], "l": [r[2] for r in rows]})
 
-    # The chosen ids are few: at most FIT_PER_LANG of each language.
-    sample = own.join(F.broadcast(chosen), ["k", "l"], "left_semi").mapInPandas(featurise, "at array<int>, share array<double>, l string")
+    # The chosen texts are few: at most FIT_PER_LANG of each language.
+    once = own.join(F.broadcast(chosen), ["k", "l", "h"], "left_semi").dropDuplicates(["k", "l", "h"])
+    sample = once.mapInPandas(featurise, "at array<int>, share array<double>, l string")
     rows = sorted(((np.asarray(r["at"], np.int64), np.asarray(r["share"]), r["l"]) for r in sample.collect()), key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes()))
     return fit(rows, corpus=document_frequencies(docs, text, key))
 

@@ -149,6 +149,17 @@ def test_quality_counts_and_thresholds(spark, docs, tmp_path):
     assert rules.keep(empty(docs), empty(labels)).count() == 0
 
 
+def test_hypergeometric_counts_of_large_populations():
+    rng = np.random.default_rng(2)
+    draws, good, bad = 1_000_000_000, 3_000_000_000, 7_000_000_000
+    got = np.array([sharding._hypergeometric(rng, good, bad, draws) for _ in range(200)], float)
+    sd = (draws * 0.3 * 0.7 * (good + bad - draws) / (good + bad - 1)) ** 0.5
+    assert abs(got.mean() - 300_000_000) < 5 * sd / 200**0.5 and 0.8 * sd < got.std() < 1.2 * sd
+    assert sharding._hypergeometric(rng, 2_000_000_000, 0, 7) == 7 and 0 <= sharding._hypergeometric(rng, 3, 2_000_000_000, 2_000_000_000) <= 3
+    small = [sharding._hypergeometric(rng, 2_000_000_000, 2, 2_000_000_001) for _ in range(20)]
+    assert all(1_999_999_999 <= x <= 2_000_000_000 for x in small)
+
+
 def test_binomial_tail(spark):
     rows = [(n, k) for n in (10, 500, 90_000) for k in (0, 1, int(n * 0.01) - 1) if k >= 0]
     got = spark.createDataFrame(rows, "n long, k long").withColumn("p", rules.binomial_tail(F.col("n"), F.col("k"), 0.01)).collect()
@@ -364,10 +375,20 @@ def test_language(spark):
     assert got[120] == got[121] == "und" and score[120] == 0 and ((score >= 0) & (score <= 1)).all()
     assert (m.table == 0).mean() > 0.9  # sparse
     assert language.train(empty(docs_)).predict(["the", None])[0] == ["und", "und"]
+    assert m.predict(["½ ² ³ Ⅷ", "½ the"])[0] == ["und", "en"]
     long = "the and of " * 60_000
     assert m.predict([long])[0] == ["en"]
 
 
+def test_language_sample_is_bounded_when_an_id_repeats(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(language, "fit", lambda rows, **_: held.append(len(rows)))
+    same = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(same, f"the text {i}", "en") for i in range(2000)] + [(same, "der text", "de")] * 1500
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert held == [language.FIT_PER_LANG + 1]
+
+
 def test_language_document_frequencies_cover_all_rows(spark):
     rows = [(i, f"text {'qqq' if i % 50 == 0 else 'abc'} {i}", "en") for i in range(3000)] + [(None, "no id", "en"), (0, None, "en")]
     df, total = language.document_frequencies(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
