@@ -1,51 +1,170 @@
 """SentencePiece sampling without replacement by perturbed A-star search.
 
-A text's lattice has an arc for every vocabulary piece at every place. Arc
-weights are the model's own scores, as log-probabilities: a piece of rank r (by
-score) gets -log(r + 1) and a character outside the vocabulary becomes its byte
-pieces. Backward sums give the mass of every suffix. The search keeps partial
-segmentations in a queue under Gumbel-perturbed log-probabilities: one child
-takes its node's value, with the child's share as its chance, and the others go
-back to the queue as one node, whose value is a Gumbel of their mass below that
-of their parent. So complete segmentations leave the queue as an exact sample
-without replacement. The (k+1)-th value is the threshold from which inclusion scores follow.
-
-Random numbers are seeded by the row's key. No piece spans a word start, so the
-lattice is a chain of words, and each worker keeps the lattices of words seen.
+A text's lattice has an arc for every vocabulary piece at every place. The file
+holds merge ranks and no probabilities, so a piece of rank r (by score) weighs
+-log(r + 1); a character outside the vocabulary becomes its byte pieces.
+Backward sums give the mass of every suffix. The search keeps sets of partial
+segmentations in a queue under Gumbel-perturbed log-probabilities: the first
+segmentation is drawn along the lattice and takes the root's value; all that
+leave it at some place stay in the queue as one entry, whose value is a Gumbel
+of their mass below that of their parent. The entry that leaves the queue draws
+its place by mass, goes on along the lattice from there with its value, and
+puts back two entries: what else left the old segmentation, and what leaves the
+new one behind that place. So segmentations come in falling perturbed value, an
+exact sample without replacement, and the (k+1)-th value is the threshold from
+which inclusion scores follow.
+
+No piece spans a word start, so the lattice is a chain of words. A worker keeps
+the lattices of words seen in flat arrays, with an alias table for each place,
+and takes one step of all words of many texts at a time. Random numbers are
+seeded by the row's key and counted by sample, word and step: what a row gets
+does not depend on the rows beside it.
 
 Edge cases: a null or empty text has one segmentation without pieces, with
 inclusion 1; a text with fewer segmentations than asked gives all of them, with
-inclusion 1; repeated rows give the same samples; keys may be null.
+inclusion 1; repeated rows give the same samples; keys may be null; an output
+column whose name a key has gets an underscore before it.
 """
 
 from __future__ import annotations
 
 import heapq
+import random
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate
 from math import exp, expm1, inf, log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.textstats import text_of
-from loomgraph.plans.storage import table
+from loomgraph.plans.storage import fresh, table
 
 MODEL, SAMPLES, SEED = "piece_bpe_32k.model", 4, 42
 SPACE = "▁"
-#: Words whose lattices a worker keeps.
-CACHE_WORDS = 100_000
-#: Pieces a worker holds before it gives rows back: texts may be very long.
-HELD_PIECES = 500_000
+#: Arcs of lattices that a worker keeps; past it they are built anew.
+CACHE_ARCS = 4_000_000
+#: Characters sampled at a time, and words that take a step at once.
+GROUP_CHARS, GROUP_WORDS = 300_000, 200_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
-#: Of the arcs at a place: cumulative shares, ends, ids, log-shares, logs of the others' share.
-Place = tuple[list[float], list[int], list[tuple[int, ...]], list[float], list[float]]
+_STEP, _WORDS, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_S30, _S27, _S31, _S11 = (np.uint64(x) for x in (30, 27, 31, 11))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finaliser."""
+    x = (x ^ (x >> _S30)) * _MIX1
+    x = (x ^ (x >> _S27)) * _MIX2
+    return x ^ (x >> _S31)
+
+
+class _Flat:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.data, self.n = np.empty(1 << 12, dtype), 0
+
+    def extend(self, values: list) -> None:
+        end = self.n + len(values)
+        if end > len(self.data):
+            held = self.data
+            self.data = np.empty(max(end, 2 * len(held)), held.dtype)
+            self.data[: self.n] = held[: self.n]
+        self.data[self.n : end] = values
+        self.n = end
+
+
+class _Index(dict):
+    """Numbers words as they come and lists those that are new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
+def _alias(shares: list[float]) -> tuple[list[float], list[int]]:
+    """Walker's alias table: what a slot keeps for itself, and whose the rest is."""
+    n = len(shares)
+    keep, other = [s * n for s in shares], list(range(n))
+    small, large = [i for i in range(n) if keep[i] < 1], [i for i in range(n) if keep[i] >= 1]
+    while small and large:
+        s, g = small.pop(), large[-1]
+        other[s] = g
+        keep[g] -= 1 - keep[s]
+        if keep[g] < 1:
+            small.append(large.pop())
+    for i in (*small, *large):
+        keep[i] = 1.0
+    return keep, other
+
+
+def _below(loc: float, bound: float, u: float) -> float:
+    """A Gumbel at ``loc`` below ``bound``, by the uniform number ``u``."""
+    gap = loc - bound
+    return loc - (log(exp(gap) - log(u)) if gap < 700 else gap)
+
+
+class _Search:
+    """The queue of one text: entries of segmentations that leave a known one."""
+
+    def __init__(self, words: np.ndarray, key: int):
+        self.words, self.key = words, key
+        draw = random.Random(key).random
+        self.uniform: Callable[[], float] = lambda: max(draw(), 1e-300)
+        self.queue: list[tuple] = []
+        self.count = 0
+        self.found: list[tuple[float, float, np.ndarray]] = []
+        #: Of the segmentation under way: value, arcs before the walk, place it left at, arcs not to take there.
+        self.value, self.head, self.left_at, self.barred = -log(-log(self.uniform())), np.empty(0, np.int32), -1, ()
+
+    def push(self, arcs: np.ndarray, masses: np.ndarray, barred: dict, below: float) -> None:
+        total = float(masses.sum())
+        if total > 0:
+            self.count += 1
+            heapq.heappush(self.queue, (-_below(log(total), below, self.uniform()), self.count, arcs, masses, barred))
+
+    def leave(self, m: "PieceModel") -> tuple[int, int]:
+        """Take the best entry and its place; gives the lattice place to go on from and the next word."""
+        value, _, arcs, masses, barred = heapq.heappop(self.queue)
+        cum = masses.cumsum()
+        at = min(int(cum.searchsorted(self.uniform() * cum[-1], "right")), len(cum) - 1)
+        while masses[at] <= 0:
+            at -= 1
+        masses[at] = 0.0
+        self.push(arcs, masses, barred, -value)
+        gone = barred.get(at, (int(arcs[at]),))
+        open_, weight = m.siblings(int(arcs[at]), gone)
+        u, c = self.uniform() * sum(weight), 0
+        while c < len(open_) - 1 and u >= weight[c]:
+            u -= weight[c]
+            c += 1
+        self.value, self.left_at, self.barred = -value, at, (*gone, open_[c])
+        self.head = np.append(arcs[:at], np.int32(open_[c]))
+        return int(m.next.data[open_[c]]), int((m.next.data[arcs[:at]] < 0).sum()) + 1
+
+    def arrive(self, m: "PieceModel", tail: np.ndarray) -> None:
+        """The walk has ended: note the segmentation, queue what leaves it."""
+        arcs = np.concatenate([self.head, tail]) if len(self.head) else tail
+        share = m.share.data[arcs]
+        so_far = share.cumsum()
+        before = so_far - share
+        masses = np.exp(before) * -np.expm1(share)
+        barred = {}
+        if self.left_at >= 0:
+            masses[: self.left_at] = 0.0
+            masses[self.left_at] = exp(before[self.left_at]) * sum(m.siblings(int(arcs[self.left_at]), self.barred)[1])
+            barred[self.left_at] = self.barred
+        self.found.append((self.value, float(so_far[-1]) if len(arcs) else 0.0, arcs))
+        self.push(arcs, masses, barred, self.value)
 
 
 @lru_cache(maxsize=4)
@@ -59,26 +178,40 @@ class PieceModel:
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-        usual = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
+        n = sp.get_piece_size()
+        usual = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         usual.sort(key=lambda i: (-sp.get_score(i), i))
         self.pieces = {sp.id_to_piece(i): (i, -log(r + 1)) for r, i in enumerate(usual, 1)}
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece spans a word start")
         self.longest = max(map(len, self.pieces))
-        self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
+        self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_cost = -log(len(usual) + 2)
         self.unknown = sp.unk_id()
-        self.words: dict[str, list[Place]] = {}
+        self.text = np.empty(n, object)
+        for i in range(n):
+            self.text[i] = sp.id_to_piece(i).replace(SPACE, " ").encode()
+            if sp.is_control(i):
+                self.text[i] = b""
+        self.text[self.unknown] = sp.decode([self.unknown]).encode()
+        for b, i in self.bytes.items():
+            self.text[i] = bytes([b])
+        #: The model puts a space before a text, which decoding takes away.
+        self.prefix = sp.normalize("a").startswith(SPACE)
+        self._clear()
 
-    def lattice(self, word: str) -> list[Place]:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            found = self.words[word] = self._build(word)
-        return found
+    def _clear(self) -> None:
+        self.index = _Index()
+        # of words: first place
+        self.start = _Flat(np.int64)
+        # of places: first arc, number of arcs
+        self.first, self.width = _Flat(np.int32), _Flat(np.int32)
+        # of arcs: alias table, place after it (-1: word end), own place, log-share, first id and number of ids
+        self.keep, self.alias, self.next, self.home, self.share = _Flat(np.float64), _Flat(np.int32), _Flat(np.int32), _Flat(np.int32), _Flat(np.float64)
+        self.id_first, self.id_size, self.ids = _Flat(np.int32), _Flat(np.int32), _Flat(np.int32)
 
-    def _build(self, word: str) -> list[Place]:
+    def lattice(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
+        """The arcs at each place of a word: end, ids, log of the share of the place's mass."""
         n, get = len(word), self.pieces.get
         arcs: list[list[tuple[int, tuple[int, ...], float]]] = []
         for i in range(n):
@@ -90,128 +223,195 @@ class PieceModel:
             arcs.append(own)
         mass = [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
-            terms = [w + mass[j] for j, _, w in arcs[i]]
+            own = arcs[i]
+            if len(own) == 1:
+                j, ids, w = own[0]
+                mass[i] = w + mass[j]
+                arcs[i] = [(j, ids, 0.0)]
+                continue
+            terms = [w + mass[j] for j, _, w in own]
             top = max(terms)
-            mass[i] = top + log(sum(exp(t - top) for t in terms))
-        places: list[Place] = []
-        for i in range(n):
-            share = [exp(w + mass[j] - mass[i]) for j, _, w in arcs[i]]
-            cum = list(accumulate(share))
-            cum[-1] = 1.0
-            others = [sum(share) - x for x in share]
-            places.append((
-                cum, [j for j, _, _ in arcs[i]], [ids for _, ids, _ in arcs[i]],
-                [w + mass[j] - mass[i] for j, _, w in arcs[i]], [log(x) if x > 0 else -inf for x in others],
-            ))
-        return places
-
-    def decode(self, ids: list[int]) -> str:
-        return self.sp.decode(ids)
+            mass[i] = all_ = top + log(sum(exp(t - top) for t in terms))
+            arcs[i] = [(j, ids, min(t - all_, 0.0)) for (j, ids, _), t in zip(own, terms)]
+        return arcs
+
+    def _learn(self, words: list[str]) -> None:
+        start, first, width, keep, alias, after, home, share, id_first, id_size, flat = ([] for _ in range(11))
+        place, arc, ids_at = self.first.n, self.keep.n, self.ids.n
+        for word in words:
+            start.append(place)
+            arcs, n, base = self.lattice(word), len(word), place
+            for own in arcs:
+                m = len(own)
+                first.append(arc)
+                width.append(m)
+                kept, other = _alias([exp(s) for _, _, s in own]) if m > 1 else ([1.0], [0])
+                keep += kept
+                alias += [arc + o for o in other]
+                home += [place] * m
+                for j, ids, s in own:
+                    after.append(base + j if j < n else -1)
+                    share.append(s)
+                    id_first.append(ids_at)
+                    id_size.append(len(ids))
+                    flat += ids
+                    ids_at += len(ids)
+                arc += m
+                place += 1
+        held = (self.start, self.first, self.width, self.keep, self.alias, self.next, self.home, self.share, self.id_first, self.id_size, self.ids)
+        for to, new in zip(held, (start, first, width, keep, alias, after, home, share, id_first, id_size, flat)):
+            to.extend(new)
+
+    def siblings(self, arc: int, gone: tuple[int, ...]) -> tuple[list[int], list[float]]:
+        """The arcs at ``arc``'s place that are not in ``gone``, and their shares."""
+        place = self.home.data[arc]
+        lo = int(self.first.data[place])
+        open_ = [a for a in range(lo, lo + int(self.width.data[place])) if a not in gone]
+        return open_, [exp(self.share.data[a]) for a in open_]
 
     def normal(self, text: str) -> str:
         return self.sp.normalize(text)
 
-    def sample(self, text: str, k: int, key: int) -> list[tuple[list[int], float, float, float]]:
-        """Up to k distinct (ids, log-probability, perturbed value, inclusion score)."""
-        lattices = [self.lattice(w) for w in _WORD.findall(self.normal(text))]
-        random = np.random.Generator(np.random.Philox(key=key & 0xFFFFFFFFFFFFFFFF))
-        draws = _Draws(random)
-        uniform = draws.uniform
-        first = -log(-log(uniform()))
-        #: The best k + 1 values so far; what is below them never leaves the queue in time.
-        tops = [first]
-        count = 0
-        # (-value, order, word, place, log-probability so far, pieces so far as a linked list, arcs not to take here)
-        queue: list[tuple] = [(-first, 0, 0, 0, 0.0, None, ())]
-        done: list[tuple[float, float, object]] = []
-        while queue and len(done) <= k:
-            value, _, w, at, p, path, barred = heapq.heappop(queue)
-            value = -value
-            for word in lattices[w:]:
-                n = len(word)
-                while at < n:
-                    cum, ends, ids, shares, others = word[at]
-                    if len(ends) > 1:
-                        if barred:
-                            open_ = [i for i in range(len(ends)) if i not in barred]
-                            weight = list(accumulate(exp(shares[i]) for i in open_))
-                            c = open_[min(bisect_right(weight, uniform() * weight[-1]), len(open_) - 1)]
-                            left = sum(exp(shares[i]) for i in open_ if i != c)
-                            rest = log(left) if left > 0 else -inf
-                        else:
-                            c = min(bisect_right(cum, uniform()), len(ends) - 1)
-                            rest = others[c]
-                        if rest > -inf:
-                            # The others' largest value: a Gumbel with their mass, below the node's own value.
-                            loc = p + rest
-                            gap = loc - value
-                            v = loc - (log(exp(gap) - log(uniform())) if gap < 700 else gap)
-                            if len(tops) <= k or v > tops[0]:
-                                if len(tops) <= k:
-                                    heapq.heappush(tops, v)
-                                else:
-                                    heapq.heapreplace(tops, v)
-                                count += 1
-                                heapq.heappush(queue, (-v, count, w, at, p, path, (*barred, c)))
-                        barred = ()
-                    else:
-                        c = 0
-                    p += shares[c]
-                    path = (path, ids[c])
-                    at = ends[c]
-                w, at = w + 1, 0
-            done.append((value, p, path))
-        bound = done[k][0] if len(done) > k else None
+    def words(self, texts: list[str]) -> list[np.ndarray]:
+        """The first places of the words of each text."""
+        if self.keep.n > CACHE_ARCS:
+            self._clear()
+        numbers = [[self.index[w] for w in _WORD.findall(self.normal(t))] for t in texts]
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
+        return [self.start.data[np.array(w, np.int64)] for w in numbers]
+
+    def walk(self, at: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Arcs drawn from the places ``at`` to the ends of their words, and how many each."""
+        if len(at) > GROUP_WORDS:
+            parts = [self.walk(at[i : i + GROUP_WORDS], seeds[i : i + GROUP_WORDS]) for i in range(0, len(at), GROUP_WORDS)]
+            return np.concatenate([a for a, _ in parts]), np.concatenate([n for _, n in parts])
+        counts, taken = np.zeros(len(at), np.int64), []
+        who = np.flatnonzero(at >= 0)
+        at, seeds = at[who], seeds[who]
+        while len(who):
+            seeds = seeds + _STEP
+            x = (_mixed(seeds) >> _S11).astype(np.float64) * 2.0**-53 * self.width.data[at]
+            slot = x.astype(np.int32)
+            arc = self.first.data[at] + slot
+            arc = np.where(x - slot < self.keep.data[arc], arc, self.alias.data[arc])
+            taken.append((who, arc))
+            counts[who] += 1
+            at = self.next.data[arc]
+            on = at >= 0
+            who, at, seeds = who[on], at[on], seeds[on]
+        starts = counts.cumsum() - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        for step, (who, arc) in enumerate(taken):
+            out[starts[who] + step] = arc
+        return out, counts
+
+    def _advance(self, searches: list[_Search], goes: list[tuple[int, int]], turn: int) -> None:
+        """Walk every search from its (place, next word) to the end of its text."""
+        at, seeds = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        ends = [0]
+        keys = _mixed(np.array([s.key for s in searches], np.uint64) + np.uint64(turn + 1) * _STEP)
+        for s, key, (place, word) in zip(searches, keys, goes):
+            at += [np.array([place]), s.words[word:]]
+            numbers = np.arange(word, len(s.words) + 1, dtype=np.uint64)
+            seeds.append(_mixed(key + numbers * _WORDS))
+            ends.append(ends[-1] + len(numbers))
+        arcs, counts = self.walk(np.concatenate(at), np.concatenate(seeds))
+        cut = np.concatenate([[0], counts.cumsum()])[ends]
+        for i, s in enumerate(searches):
+            s.arrive(self, arcs[cut[i] : cut[i + 1]])
+
+    def sample_all(self, texts: list[str], k: int, keys: list[int]) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """For each text up to k distinct (ids, log-probability, perturbed value, inclusion score)."""
+        searches = [_Search(w, key & 0xFFFFFFFFFFFFFFFF) for w, key in zip(self.words(texts), keys)]
+        if searches and k > 0:
+            self._advance(searches, [(-1, 0)] * len(searches), 0)
+        for turn in range(1, k):
+            on = [s for s in searches if s.queue]
+            if on:
+                self._advance(on, [s.leave(self) for s in on], turn)
         out = []
-        for value, p, path in done[:k]:
-            ids: list[int] = []
-            while path is not None:
-                ids.extend(reversed(path[1]))
-                path = path[0]
-            ids.reverse()
-            out.append((ids, p, value, 1.0 if bound is None else -expm1(-exp(min(p - bound, 700.0)))))
+        for s in searches:
+            bound = -s.queue[0][0] if s.queue else -inf
+            out.append([(self.ids_of(arcs), p, value, 1.0 if bound == -inf else -expm1(-exp(min(p - bound, 700.0)))) for value, p, arcs in s.found])
         return out
 
+    def sample(self, text: str, k: int, key: int) -> list[tuple[list[int], float, float, float]]:
+        return [(ids.tolist(), p, value, inclusion) for ids, p, value, inclusion in self.sample_all([text], k, [key])[0]]
+
+    def ids_of(self, arcs: np.ndarray) -> np.ndarray:
+        first, sizes = self.id_first.data[arcs], self.id_size.data[arcs]
+        if len(arcs) and sizes.max() > 1:
+            ends = sizes.cumsum()
+            first = np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)
+        return self.ids.data[first]
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(self.text[ids].tolist()).decode("utf-8", "replace")
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
-class _Draws:
-    """Uniform numbers in (0, 1), drawn in blocks."""
 
-    def __init__(self, generator: np.random.Generator):
-        self.generator, self.held = generator, []
+def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    first, chars = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and chars + len(t) > GROUP_CHARS:
+            yield first, i
+            first, chars = i, 0
+        chars += len(t)
+    if texts:
+        yield first, len(texts)
 
-    def uniform(self) -> float:
-        if not self.held:
-            self.held = np.maximum(self.generator.random(256), 1e-300).tolist()
-        return self.held.pop()
 
+def sample_pieces(df: DataFrame, keys: list[str], text: str, k: int = SAMPLES, seed: int = SEED, name: str = MODEL, digests: bool = False) -> DataFrame:
+    """A row per sampled segmentation: keys, sample (from 1), log_prob, perturbed, inclusion, ids, decoded.
 
-def sample_pieces(df: DataFrame, keys: list[str], text: str, k: int = SAMPLES, seed: int = SEED, name: str = MODEL) -> DataFrame:
-    """A row per sampled segmentation: keys, sample (from 1), ids, log_prob, perturbed, inclusion, decoded."""
-    fields = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in fields.items()), "sample int, ids array<int>, log_prob double, perturbed double, inclusion double, decoded string"])
+    ``digests``: n_pieces, ids_crc32 (of little-endian 32-bit ids) and
+    decoded_crc32 (of UTF-8) take the place of ids and decoded, so that the
+    samples themselves need not leave the worker.
+    """
+    own = df.select(*keys)
+    results = [("sample", "int"), ("log_prob", "double"), ("perturbed", "double"), ("inclusion", "double")]
+    results += [("n_pieces", "int"), ("ids_crc32", "bigint"), ("decoded_crc32", "bigint")] if digests else [("ids", "array<int>"), ("decoded", "string")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), *(f"`{fresh(c, own)}` {t}" for c, t in results)])
+    names = [*own.columns, *(fresh(c, own) for c, _ in results)]
+    width = len(own.columns)
 
-    columns = [*keys, "sample", "ids", "log_prob", "perturbed", "inclusion", "decoded"]
+    def rows(m: PieceModel, b: pa.RecordBatch, texts: list[str], hashes: list[int]) -> pa.RecordBatch:
+        at, sample, log_prob, perturbed, inclusion, ids, decoded = ([] for _ in range(7))
+        for r, found in enumerate(m.sample_all(texts, k, hashes)):
+            for i, (own_ids, p, value, score) in enumerate(found, 1):
+                at.append(r)
+                sample.append(i)
+                log_prob.append(p)
+                perturbed.append(value)
+                inclusion.append(score)
+                ids.append(own_ids)
+                decoded.append(m.decode(own_ids))
+        columns = [pa.array(sample, pa.int32()), pa.array(log_prob, pa.float64()), pa.array(perturbed, pa.float64()), pa.array(inclusion, pa.float64())]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        if digests:
+            columns += [pa.array(sizes), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([zlib.crc32(x.encode()) for x in decoded], pa.int64())]
+        else:
+            ends = np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
+            columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids]))), pa.array(decoded, pa.string())]
+        taken = [c.take(pa.array(at, pa.int64())) for c in b.columns[:width]]
+        return pa.RecordBatch.from_arrays([*taken, *columns], names=names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(name)
         for b in batches:
-            rows, held = [], 0
-            for *own, h, t in b.astype(object).itertuples(index=False, name=None):
-                for i, (ids, p, value, inclusion) in enumerate(m.sample(t, k, h), 1):
-                    rows.append((*(None if pd.isna(x) else x for x in own), i, ids, p, value, inclusion, m.decode(ids)))
-                    held += len(ids)
-                if held > HELD_PIECES or len(rows) >= 200 * k:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+            texts, hashes = b.column(width + 1).to_pylist(), b.column(width).to_pylist()
+            for first, last in _groups(texts):
+                yield rows(m, b.slice(first, last - first), texts[first:last], hashes[first:last])
 
-    return df.select(*keys, F.xxhash64(F.lit(seed), *keys).alias("_hash"), text_of(text).alias("_text")).mapInPandas(run, schema)
+    columns = [F.col(f"`{c}`") for c in own.columns]
+    return df.select(*columns, F.xxhash64(F.lit(seed), *columns).alias(fresh("_hash", own)), text_of(text).alias(fresh("_text", own))).mapInArrow(run, schema)
 
 
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of every text of ``documents`` (by doc_id) and every turn of ``conversations`` (by conv_id and turn)."""
-    docs = sample_pieces(table(spark, sf_dir, "documents"), ["doc_id"], "text")
-    turns = sample_pieces(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    docs = sample_pieces(table(spark, sf_dir, "documents"), ["doc_id"], "text", digests=True)
+    turns = sample_pieces(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", digests=True)
     found = docs.unionByName(turns, allowMissingColumns=True)
-    return found.select("doc_id", "conv_id", "turn", "sample", F.size("ids").alias("n_pieces"), F.crc32(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary")).alias("ids_crc32"), "log_prob", "perturbed", "inclusion", F.crc32("decoded").alias("decoded_crc32"))
+    return found.select("doc_id", "conv_id", "turn", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", "decoded_crc32")
