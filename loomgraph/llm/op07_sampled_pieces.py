@@ -69,7 +69,7 @@ class _Flat:
     def __init__(self, dtype: type):
         self.data, self.n = np.empty(1 << 12, dtype), 0
 
-    def extend(self, values: list) -> None:
+    def extend(self, values: np.ndarray) -> None:
         end = self.n + len(values)
         if end > len(self.data):
             held = self.data
@@ -91,19 +91,30 @@ class _Index(dict):
         return n
 
 
-def _alias(shares: list[float]) -> tuple[list[float], list[int]]:
-    """Walker's alias table: what a slot keeps for itself, and whose the rest is."""
-    n = len(shares)
-    keep, other = [s * n for s in shares], list(range(n))
-    small, large = [i for i in range(n) if keep[i] < 1], [i for i in range(n) if keep[i] >= 1]
-    while small and large:
-        s, g = small.pop(), large[-1]
-        other[s] = g
-        keep[g] -= 1 - keep[s]
-        if keep[g] < 1:
-            small.append(large.pop())
-    for i in (*small, *large):
-        keep[i] = 1.0
+def _aliases(shares: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Alias tables of places with ``width`` arcs each: what a slot keeps for itself, and the slot that has its rest."""
+    keep, other = np.ones(len(shares)), np.zeros(len(shares), np.int64)
+    first = width.cumsum() - width
+    rows = np.flatnonzero(width > 1)
+    rows = rows[np.argsort(-width[rows], kind="stable")]
+    for lo in range(0, len(rows), GROUP_WORDS):
+        part = rows[lo : lo + GROUP_WORDS]
+        w, at = width[part], first[part]
+        slots = np.arange(int(w[0]))
+        inside = slots < w[:, None]
+        least = np.where(inside, shares[np.where(inside, at[:, None] + slots, 0)] * w[:, None], inf)
+        most = np.where(inside, least, -inf)
+        for turn in range(1, int(w[0])):
+            n = int(np.searchsorted(-w, -turn))  # places of more arcs than turns so far
+            r = np.arange(n)
+            poor, rich = least[:n].argmin(1), most[:n].argmax(1)
+            got, apart = least[r, poor], poor != rich
+            keep[at[:n] + poor] = np.where(apart, got, 1.0)
+            other[at[:n] + poor] = rich
+            left = most[r, rich] - (1 - got)
+            least[r, poor], most[r, poor] = inf, -inf
+            r, rich, left = r[apart], rich[apart], left[apart]
+            least[r, rich] = most[r, rich] = left
     return keep, other
 
 
@@ -181,10 +192,11 @@ class PieceModel:
         n = sp.get_piece_size()
         usual = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         usual.sort(key=lambda i: (-sp.get_score(i), i))
-        self.pieces = {sp.id_to_piece(i): (i, -log(r + 1)) for r, i in enumerate(usual, 1)}
-        if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
+        pieces = {sp.id_to_piece(i): (i, -log(r + 1)) for r, i in enumerate(usual, 1)}
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece spans a word start")
-        self.longest = max(map(len, self.pieces))
+        #: Id and weight of every piece; None for what only begins one.
+        self.known = dict.fromkeys(p[:i] for p in pieces for i in range(1, len(p))) | pieces
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_cost = -log(len(usual) + 2)
         self.unknown = sp.unk_id()
@@ -212,54 +224,67 @@ class PieceModel:
 
     def lattice(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """The arcs at each place of a word: end, ids, log of the share of the place's mass."""
-        n, get = len(word), self.pieces.get
-        arcs: list[list[tuple[int, tuple[int, ...], float]]] = []
-        for i in range(n):
-            own = [(j, (p[0],), p[1]) for j in range(i + 1, min(n, i + self.longest) + 1) if (p := get(word[i:j])) is not None]
-            if not own or own[0][0] != i + 1:
-                raw = word[i].encode("utf-8", "replace")
-                ids = tuple(self.bytes[b] for b in raw) if self.bytes else (self.unknown,)
-                own.insert(0, (i + 1, ids, self.byte_cost * len(ids)))
-            arcs.append(own)
-        mass = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            own = arcs[i]
-            if len(own) == 1:
-                j, ids, w = own[0]
-                mass[i] = w + mass[j]
-                arcs[i] = [(j, ids, 0.0)]
-                continue
-            terms = [w + mass[j] for j, _, w in own]
-            top = max(terms)
-            mass[i] = all_ = top + log(sum(exp(t - top) for t in terms))
-            arcs[i] = [(j, ids, min(t - all_, 0.0)) for (j, ids, _), t in zip(own, terms)]
-        return arcs
+        base = int(self.words([word], normal=False)[0][0])
+        out = []
+        for i in range(len(word)):
+            arcs, _ = self.siblings(int(self.first.data[base + i]), ())
+            ends = [len(word) if self.next.data[a] < 0 else int(self.next.data[a]) - base for a in arcs]
+            out.append([(j, tuple(self.ids_of(np.array([a])).tolist()), float(self.share.data[a])) for j, a in zip(ends, arcs)])
+        return out
 
     def _learn(self, words: list[str]) -> None:
-        start, first, width, keep, alias, after, home, share, id_first, id_size, flat = ([] for _ in range(11))
-        place, arc, ids_at = self.first.n, self.keep.n, self.ids.n
+        """Append the lattices of words."""
+        width, after, weight, ids, id_size = [], [], [], [], []
+        known, place, base = self.known, 0, self.first.n
+        start, dist = [], []
         for word in words:
             start.append(place)
-            arcs, n, base = self.lattice(word), len(word), place
-            for own in arcs:
-                m = len(own)
-                first.append(arc)
-                width.append(m)
-                kept, other = _alias([exp(s) for _, _, s in own]) if m > 1 else ([1.0], [0])
-                keep += kept
-                alias += [arc + o for o in other]
-                home += [place] * m
-                for j, ids, s in own:
-                    after.append(base + j if j < n else -1)
-                    share.append(s)
-                    id_first.append(ids_at)
-                    id_size.append(len(ids))
-                    flat += ids
-                    ids_at += len(ids)
-                arc += m
-                place += 1
-        held = (self.start, self.first, self.width, self.keep, self.alias, self.next, self.home, self.share, self.id_first, self.id_size, self.ids)
-        for to, new in zip(held, (start, first, width, keep, alias, after, home, share, id_first, id_size, flat)):
+            n = len(word)
+            dist += range(n, 0, -1)
+            for i in range(n):
+                before = len(after)
+                if not known.get(word[i]):
+                    raw = word[i].encode("utf-8", "replace")
+                    own = [self.bytes[b] for b in raw] if self.bytes else [self.unknown]
+                    after.append(place + i + 1 if i + 1 < n else -1)
+                    weight.append(self.byte_cost * len(own))
+                    ids += own
+                    id_size.append(len(own))
+                for j in range(i + 1, n + 1):
+                    piece = known.get(word[i:j], 0)
+                    if piece:
+                        after.append(place + j if j < n else -1)
+                        weight.append(piece[1])
+                        ids.append(piece[0])
+                        id_size.append(1)
+                    elif piece == 0:
+                        break
+                width.append(len(after) - before)
+            place += n
+        widths, nexts, weights, dists, sizes = (np.array(x, t) for x, t in ((width, np.int64), (after, np.int64), (weight, np.float64), (dist, np.int64), (id_size, np.int64)))
+        home = np.repeat(np.arange(place), widths)
+        # Backward sums, over all places that are equally far from the ends of their words at once.
+        places, arcs = np.argsort(dists, kind="stable"), np.argsort(dists[home], kind="stable")
+        place_cut = np.concatenate([[0], np.bincount(dists)[1:].cumsum()])
+        arc_cut = np.concatenate([[0], np.bincount(dists[home])[1:].cumsum()])
+        mass, share = np.zeros(place + 1), np.zeros(len(nexts))
+        for d in range(len(place_cut) - 1):
+            at, own = places[place_cut[d] : place_cut[d + 1]], arcs[arc_cut[d] : arc_cut[d + 1]]
+            if not len(at):
+                continue
+            n = widths[at]
+            cuts = n.cumsum() - n
+            terms = weights[own] + mass[nexts[own]]
+            top = np.maximum.reduceat(terms, cuts)
+            mass[at] = top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, n)), cuts))
+            share[own] = np.where(np.repeat(n, n) > 1, np.minimum(terms - np.repeat(mass[at], n), 0.0), 0.0)
+        keep, other = _aliases(np.exp(share), widths)
+        first = self.keep.n + widths.cumsum() - widths
+        for to, new in (
+            (self.start, np.array(start, np.int64) + base), (self.first, first), (self.width, widths), (self.keep, keep), (self.alias, first[home] + other),
+            (self.next, np.where(nexts < 0, -1, nexts + base)), (self.home, home + base), (self.share, share),
+            (self.id_first, self.ids.n + sizes.cumsum() - sizes), (self.id_size, sizes), (self.ids, np.array(ids, np.int64)),
+        ):
             to.extend(new)
 
     def siblings(self, arc: int, gone: tuple[int, ...]) -> tuple[list[int], list[float]]:
@@ -272,11 +297,11 @@ class PieceModel:
     def normal(self, text: str) -> str:
         return self.sp.normalize(text)
 
-    def words(self, texts: list[str]) -> list[np.ndarray]:
+    def words(self, texts: list[str], normal: bool = True) -> list[np.ndarray]:
         """The first places of the words of each text."""
         if self.keep.n > CACHE_ARCS:
             self._clear()
-        numbers = [[self.index[w] for w in _WORD.findall(self.normal(t))] for t in texts]
+        numbers = [[self.index[w] for w in _WORD.findall(self.normal(t) if normal else t)] for t in texts]
         if self.index.new:
             self._learn(self.index.new)
             self.index.new = []
@@ -311,7 +336,7 @@ class PieceModel:
         """Walk every search from its (place, next word) to the end of its text."""
         at, seeds = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         ends = [0]
-        keys = _mixed(np.array([s.key for s in searches], np.uint64) + np.uint64(turn + 1) * _STEP)
+        keys = _mixed(np.array([s.key for s in searches], np.uint64) + np.array([turn + 1], np.uint64) * _STEP)
         for s, key, (place, word) in zip(searches, keys, goes):
             at += [np.array([place]), s.words[word:]]
             numbers = np.arange(word, len(s.words) + 1, dtype=np.uint64)
