@@ -50,7 +50,8 @@ SPACE = "▁"
 CACHE_ARCS = 4_000_000
 #: Characters sampled at a time, and words that take a step at once.
 GROUP_CHARS, GROUP_WORDS = 300_000, 200_000
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Bits of a code point in a key of the trie.
+_CODE_BITS = 21
 
 _STEP, _WORDS, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S30, _S27, _S31, _S11 = (np.uint64(x) for x in (30, 27, 31, 11))
@@ -195,8 +196,10 @@ class PieceModel:
         pieces = {sp.id_to_piece(i): (i, -log(r + 1)) for r, i in enumerate(usual, 1)}
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece spans a word start")
-        #: Id and weight of every piece; None for what only begins one.
-        self.known = dict.fromkeys(p[:i] for p in pieces for i in range(1, len(p))) | pieces
+        self._number(pieces)
+        #: What no longer piece holds stands alone.
+        joined = "".join(map(re.escape, sorted({c for p in pieces if len(p) > 1 for c in p} - {SPACE})))
+        self.cut = re.compile(f"{SPACE}+[{joined}]*|[{joined}]+|[^{SPACE}{joined}]").findall
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_cost = -log(len(usual) + 2)
         self.unknown = sp.unk_id()
@@ -212,6 +215,20 @@ class PieceModel:
         self.prefix = sp.normalize("a").startswith(SPACE)
         self._clear()
 
+    def _number(self, pieces: dict[str, tuple[int, float]]) -> None:
+        """A trie in arrays: state s is the s-th key, a key is the state before and the letter."""
+        held: list[tuple[int, str]] = []
+        level = {"": 0}
+        prefixes = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+        # Keys grow with the state before, so numbering level by level keeps them in order.
+        for n in range(1, max(map(len, pieces)) + 1):
+            now = sorted((level[p[:-1]] << _CODE_BITS | ord(p[-1]), p) for p in prefixes if len(p) == n)
+            level = {p: len(held) + i for i, (_, p) in enumerate(now, 1)}
+            held += now
+        self.trie = np.array([k for k, _ in held], np.int64)
+        self.piece_id = np.array([-1, *(pieces.get(p, (-1,))[0] for _, p in held)], np.int64)
+        self.piece_weight = np.array([0.0, *(pieces[p][1] if p in pieces else 0.0 for _, p in held)])
+
     def _clear(self) -> None:
         self.index = _Index()
         # of words: first place
@@ -221,6 +238,8 @@ class PieceModel:
         # of arcs: alias table, place after it (-1: word end), own place, log-share, first id and number of ids
         self.keep, self.alias, self.next, self.home, self.share = _Flat(np.float64), _Flat(np.int32), _Flat(np.int32), _Flat(np.int32), _Flat(np.float64)
         self.id_first, self.id_size, self.ids = _Flat(np.int32), _Flat(np.int32), _Flat(np.int32)
+        self.ids.extend(np.arange(len(self.text)))
+        self.spelt: dict[int, tuple[int, int]] = {}
 
     def lattice(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """The arcs at each place of a word: end, ids, log of the share of the place's mass."""
@@ -232,37 +251,50 @@ class PieceModel:
             out.append([(j, tuple(self.ids_of(np.array([a])).tolist()), float(self.share.data[a])) for j, a in zip(ends, arcs)])
         return out
 
+    def _spelt(self, code: int) -> tuple[int, int]:
+        """Where the ids of a character outside the vocabulary are, and how many."""
+        if code not in self.spelt:
+            ids = [self.bytes[b] for b in chr(code).encode("utf-8", "replace")] if self.bytes else [self.unknown]
+            self.spelt[code] = (self.ids.n, len(ids))
+            self.ids.extend(np.array(ids))
+        return self.spelt[code]
+
     def _learn(self, words: list[str]) -> None:
-        """Append the lattices of words."""
-        width, after, weight, ids, id_size = [], [], [], [], []
-        known, place, base = self.known, 0, self.first.n
-        start, dist = [], []
-        for word in words:
-            start.append(place)
-            n = len(word)
-            dist += range(n, 0, -1)
-            for i in range(n):
-                before = len(after)
-                if not known.get(word[i]):
-                    raw = word[i].encode("utf-8", "replace")
-                    own = [self.bytes[b] for b in raw] if self.bytes else [self.unknown]
-                    after.append(place + i + 1 if i + 1 < n else -1)
-                    weight.append(self.byte_cost * len(own))
-                    ids += own
-                    id_size.append(len(own))
-                for j in range(i + 1, n + 1):
-                    piece = known.get(word[i:j], 0)
-                    if piece:
-                        after.append(place + j if j < n else -1)
-                        weight.append(piece[1])
-                        ids.append(piece[0])
-                        id_size.append(1)
-                    elif piece == 0:
-                        break
-                width.append(len(after) - before)
-            place += n
-        widths, nexts, weights, dists, sizes = (np.array(x, t) for x, t in ((width, np.int64), (after, np.int64), (weight, np.float64), (dist, np.int64), (id_size, np.int64)))
-        home = np.repeat(np.arange(place), widths)
+        """Append the lattices of words: one letter further along the pieces for all places at once."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        code = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        place, base = len(code), self.first.n
+        start = lengths.cumsum() - lengths
+        dists = np.repeat(start + lengths, lengths) - np.arange(place)
+        homes, spans, weights, firsts, sizes = [], [], [], [], []
+
+        def arcs_found(home: np.ndarray, span: int, weight: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+            for to, new in ((homes, home), (spans, np.full(len(home), span)), (weights, weight), (firsts, first), (sizes, size)):
+                to.append(new)
+
+        at, state, span = np.arange(place), np.zeros(place, np.int64), 0
+        while len(at):
+            key = (state << _CODE_BITS) | code[at + span]
+            slot = np.minimum(self.trie.searchsorted(key), len(self.trie) - 1)
+            hit = self.trie[slot] == key
+            at, state, span = at[hit], slot[hit] + 1, span + 1
+            full = self.piece_id[state] >= 0
+            arcs_found(at[full], span, self.piece_weight[state[full]], self.piece_id[state[full]], np.ones(int(full.sum()), np.int64))
+            if span == 1:
+                alone = np.ones(place, bool)
+                alone[at[full]] = False
+                others = np.flatnonzero(alone)
+                letters, which = np.unique(code[others], return_inverse=True)
+                spelt = np.array([self._spelt(int(c)) for c in letters], np.int64).reshape(-1, 2)[which]
+                arcs_found(others, 1, self.byte_cost * spelt[:, 1], spelt[:, 0], spelt[:, 1])
+            on = dists[at] > span
+            at, state = at[on], state[on]
+        home, span, weights, first_id, sizes = (np.concatenate(x) for x in (homes, spans, weights, firsts, sizes))
+        order = np.argsort(home, kind="stable")
+        home, weights, first_id, sizes = home[order], weights[order], first_id[order], sizes[order]
+        nexts = home + span[order]
+        nexts[span[order] == dists[home]] = -1
+        widths = np.bincount(home, minlength=place)
         # Backward sums, over all places that are equally far from the ends of their words at once.
         places, arcs = np.argsort(dists, kind="stable"), np.argsort(dists[home], kind="stable")
         place_cut = np.concatenate([[0], np.bincount(dists)[1:].cumsum()])
@@ -281,9 +313,9 @@ class PieceModel:
         keep, other = _aliases(np.exp(share), widths)
         first = self.keep.n + widths.cumsum() - widths
         for to, new in (
-            (self.start, np.array(start, np.int64) + base), (self.first, first), (self.width, widths), (self.keep, keep), (self.alias, first[home] + other),
+            (self.start, start + base), (self.first, first), (self.width, widths), (self.keep, keep), (self.alias, first[home] + other),
             (self.next, np.where(nexts < 0, -1, nexts + base)), (self.home, home + base), (self.share, share),
-            (self.id_first, self.ids.n + sizes.cumsum() - sizes), (self.id_size, sizes), (self.ids, np.array(ids, np.int64)),
+            (self.id_first, first_id), (self.id_size, sizes),
         ):
             to.extend(new)
 
@@ -301,7 +333,7 @@ class PieceModel:
         """The first places of the words of each text."""
         if self.keep.n > CACHE_ARCS:
             self._clear()
-        numbers = [[self.index[w] for w in _WORD.findall(self.normal(t) if normal else t)] for t in texts]
+        numbers = [[self.index[w] for w in self.cut(self.normal(t) if normal else t)] for t in texts]
         if self.index.new:
             self._learn(self.index.new)
             self.index.new = []

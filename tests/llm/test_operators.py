@@ -304,8 +304,7 @@ def test_sampled_pieces(spark, docs):
             if at == len(word):
                 out.append((tuple(ids), p))
                 return
-            _, ends, parts, shares, _ = arcs[at]
-            for e, i, s in zip(ends, parts, shares):
+            for e, i, s in arcs[at]:
                 go(e, ids + list(i), p + s)
 
         go(0, [], 0.0)
@@ -325,6 +324,53 @@ def test_sampled_pieces(spark, docs):
     assert (out.inclusion.between(0, 1)).all() and pieces.sample_pieces(empty(docs), ["doc_id"], "text").count() == 0
 
 
+def test_sampled_pieces_draw_without_replacement():
+    m, n = pieces.model(pieces.MODEL), 20_000
+    every = {(): 0.0}
+    for word in ("▁the", "▁a"):
+        arcs = m.lattice(word)
+
+        def go(at, ids, p):
+            if at == len(word):
+                yield ids, p
+            else:
+                for e, i, s in arcs[at]:
+                    yield from go(e, ids + i, p + s)
+
+        every = {a + b: p + q for a, p in every.items() for b, q in go(0, (), 0.0)}
+    drawn = m.sample_all(["the a"] * n, 3, list(range(n)))
+    pairs = pd.Series([(tuple(x[0][0]), tuple(x[1][0])) for x in drawn]).value_counts(normalize=True)
+    checked = 0
+    for a, p in every.items():
+        for b, q in every.items():
+            chance = math.exp(p + q) / (1 - math.exp(p))
+            if a != b and chance * n > 20:
+                checked += 1
+                assert pairs[(a, b)] == pytest.approx(chance, abs=4 * math.sqrt(chance / n))
+    assert checked >= 2
+    # Weighting by inclusion scores gives unbiased totals.
+    assert np.mean([sum(math.exp(p) / i for _, p, _, i in x) for x in drawn]) == pytest.approx(1, abs=0.01)
+    assert len({tuple(x[0]) for x in m.sample("the a", 99, 5)}) == len(every)
+    assert all([x[2] for x in s] == sorted((x[2] for x in s), reverse=True) for s in drawn[:100])
+
+
+def test_sampled_pieces_do_not_depend_on_their_batch():
+    m = pieces.model(pieces.MODEL)
+    texts = [*TEXTS[:6], "", "x" * 300, "½ é 漢字 \U0001f600 a\nb", "  lead  two", "one\ttwo"]
+    got = m.sample_all(texts, 4, list(range(len(texts))))
+    for i, t in enumerate(texts):
+        assert [(a.tolist(), *rest) for a, *rest in got[i]] == m.sample(t, 4, i)
+        for ids, *_ in got[i]:
+            assert m.decode(ids) == m.sp.decode(ids.tolist()) == m.sp.decode(m.sp.encode(t))
+
+
+def test_sampled_pieces_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 2, "a text"), (None, None, None)], "_hash long, ids long, _text string")
+    out = pieces.sample_pieces(df, ["_hash", "ids"], "_text").toPandas()
+    assert list(out.columns) == ["_hash", "ids", "sample", "log_prob", "perturbed", "inclusion", "_ids", "decoded"]
+    assert set(out[out["ids"] == 2].decoded) == {"a text"} and len(out[out["ids"].isna()]) == 1
+
+
 def test_sampled_pieces_cover_documents_and_conversations(spark, tmp_path):
     texts = [(0, "some words of a text"), (1, None), (2, "word " * 3000), (None, "no id")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
