@@ -168,7 +168,9 @@ class _Search:
         arcs = np.concatenate([self.head, tail]) if len(self.head) else tail
         share = m.share.data[arcs]
         so_far = share.cumsum()
-        before = so_far - share
+        seen = int((-so_far).searchsorted(745.0)) + 1  # places after these have no mass in double precision
+        share = share[: max(seen, self.left_at + 1)]
+        before = so_far[: len(share)] - share
         masses = np.exp(before) * -np.expm1(share)
         barred = {}
         if self.left_at >= 0:
@@ -243,12 +245,15 @@ class PieceModel:
 
     def lattice(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """The arcs at each place of a word: end, ids, log of the share of the place's mass."""
-        base = int(self.words([word], normal=False)[0][0])
+        place, places = int(self.words([word], normal=False)[0][0]), []
+        while place >= 0:  # the first arc of a place is one letter long
+            places.append(place)
+            place = int(self.next.data[self.first.data[place]])
+        number = {-1: len(word)} | {p: i for i, p in enumerate(places)}
         out = []
-        for i in range(len(word)):
-            arcs, _ = self.siblings(int(self.first.data[base + i]), ())
-            ends = [len(word) if self.next.data[a] < 0 else int(self.next.data[a]) - base for a in arcs]
-            out.append([(j, tuple(self.ids_of(np.array([a])).tolist()), float(self.share.data[a])) for j, a in zip(ends, arcs)])
+        for p in places:
+            arcs, _ = self.siblings(int(self.first.data[p]), ())
+            out.append([(number[int(self.next.data[a])], tuple(self.ids_of(np.array([a])).tolist()), float(self.share.data[a])) for a in arcs])
         return out
 
     def _spelt(self, code: int) -> tuple[int, int]:
@@ -263,57 +268,58 @@ class PieceModel:
         """Append the lattices of words: one letter further along the pieces for all places at once."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         code = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-        place, base = len(code), self.first.n
+        n, base = len(code), self.first.n
         start = lengths.cumsum() - lengths
-        dists = np.repeat(start + lengths, lengths) - np.arange(place)
-        homes, spans, weights, firsts, sizes = [], [], [], [], []
-
-        def arcs_found(home: np.ndarray, span: int, weight: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
-            for to, new in ((homes, home), (spans, np.full(len(home), span)), (weights, weight), (firsts, first), (sizes, size)):
-                to.append(new)
-
-        at, state, span = np.arange(place), np.zeros(place, np.int64), 0
+        dist = np.repeat(start + lengths, lengths) - np.arange(n)
+        # Places are numbered by their distance from the ends of their words.
+        order = np.argsort(dist.astype(np.int16) if lengths.max() < 1 << 15 else dist, kind="stable")
+        number = np.full(n + 1, -1)
+        number[order] = np.arange(n)
+        widths = np.zeros(n, np.int64)
+        found = []
+
+        def arcs_found(at: np.ndarray, span: int, weight: np.ndarray, first: np.ndarray, size: np.ndarray | int) -> None:
+            home = number[at]
+            found.append((home, widths[home], np.where(dist[at] > span, number[at + span], -1), weight, first, size))
+            widths[home] += 1
+
+        at, state, span = np.arange(n), np.zeros(n, np.int64), 0
         while len(at):
             key = (state << _CODE_BITS) | code[at + span]
             slot = np.minimum(self.trie.searchsorted(key), len(self.trie) - 1)
             hit = self.trie[slot] == key
             at, state, span = at[hit], slot[hit] + 1, span + 1
-            full = self.piece_id[state] >= 0
-            arcs_found(at[full], span, self.piece_weight[state[full]], self.piece_id[state[full]], np.ones(int(full.sum()), np.int64))
+            ids = self.piece_id[state]
+            full = ids >= 0
+            arcs_found(at[full], span, self.piece_weight[state[full]], ids[full], 1)
             if span == 1:
-                alone = np.ones(place, bool)
-                alone[at[full]] = False
-                others = np.flatnonzero(alone)
+                others = np.flatnonzero(widths[number[:n]] == 0)
                 letters, which = np.unique(code[others], return_inverse=True)
                 spelt = np.array([self._spelt(int(c)) for c in letters], np.int64).reshape(-1, 2)[which]
                 arcs_found(others, 1, self.byte_cost * spelt[:, 1], spelt[:, 0], spelt[:, 1])
-            on = dists[at] > span
+            on = dist[at] > span
             at, state = at[on], state[on]
-        home, span, weights, first_id, sizes = (np.concatenate(x) for x in (homes, spans, weights, firsts, sizes))
-        order = np.argsort(home, kind="stable")
-        home, weights, first_id, sizes = home[order], weights[order], first_id[order], sizes[order]
-        nexts = home + span[order]
-        nexts[span[order] == dists[home]] = -1
-        widths = np.bincount(home, minlength=place)
+        first = widths.cumsum() - widths
+        total = int(widths.sum())
+        nexts, weights, first_id, sizes = np.empty(total, np.int64), np.empty(total), np.empty(total, np.int64), np.empty(total, np.int64)
+        for home, rank, *values in found:
+            to = first[home] + rank
+            nexts[to], weights[to], first_id[to], sizes[to] = values
         # Backward sums, over all places that are equally far from the ends of their words at once.
-        places, arcs = np.argsort(dists, kind="stable"), np.argsort(dists[home], kind="stable")
-        place_cut = np.concatenate([[0], np.bincount(dists)[1:].cumsum()])
-        arc_cut = np.concatenate([[0], np.bincount(dists[home])[1:].cumsum()])
-        mass, share = np.zeros(place + 1), np.zeros(len(nexts))
-        for d in range(len(place_cut) - 1):
-            at, own = places[place_cut[d] : place_cut[d + 1]], arcs[arc_cut[d] : arc_cut[d + 1]]
-            if not len(at):
-                continue
-            n = widths[at]
-            cuts = n.cumsum() - n
-            terms = weights[own] + mass[nexts[own]]
-            top = np.maximum.reduceat(terms, cuts)
-            mass[at] = top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, n)), cuts))
-            share[own] = np.where(np.repeat(n, n) > 1, np.minimum(terms - np.repeat(mass[at], n), 0.0), 0.0)
+        mass, share = np.zeros(n + 1), np.zeros(total)
+        cuts = np.concatenate([[0], np.bincount(dist)[1:].cumsum()])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            w, at = widths[lo:hi], first[lo:hi]
+            arcs = slice(int(at[0]), int(at[-1] + w[-1]))
+            terms = weights[arcs] + mass[nexts[arcs]]
+            top = np.maximum.reduceat(terms, at - at[0])
+            mass[lo:hi] = top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, w)), at - at[0]))
+            share[arcs] = np.where(np.repeat(w, w) > 1, np.minimum(terms - np.repeat(mass[lo:hi], w), 0.0), 0.0)
         keep, other = _aliases(np.exp(share), widths)
-        first = self.keep.n + widths.cumsum() - widths
+        first += self.keep.n
+        home = np.repeat(np.arange(n), widths)
         for to, new in (
-            (self.start, start + base), (self.first, first), (self.width, widths), (self.keep, keep), (self.alias, first[home] + other),
+            (self.start, number[start] + base), (self.first, first), (self.width, widths), (self.keep, keep), (self.alias, first[home] + other),
             (self.next, np.where(nexts < 0, -1, nexts + base)), (self.home, home + base), (self.share, share),
             (self.id_first, first_id), (self.id_size, sizes),
         ):
@@ -333,7 +339,7 @@ class PieceModel:
         """The first places of the words of each text."""
         if self.keep.n > CACHE_ARCS:
             self._clear()
-        numbers = [[self.index[w] for w in self.cut(self.normal(t) if normal else t)] for t in texts]
+        numbers = [list(map(self.index.__getitem__, self.cut(self.normal(t) if normal else t))) for t in texts]
         if self.index.new:
             self._learn(self.index.new)
             self.index.new = []
@@ -404,9 +410,10 @@ class PieceModel:
             first = np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)
         return self.ids.data[first]
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(self.text[ids].tolist()).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of the pieces, in UTF-8."""
+        text = b"".join(self.text[ids].tolist())
+        return text[1:] if self.prefix and text.startswith(b" ") else text
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -448,10 +455,10 @@ def sample_pieces(df: DataFrame, keys: list[str], text: str, k: int = SAMPLES, s
         columns = [pa.array(sample, pa.int32()), pa.array(log_prob, pa.float64()), pa.array(perturbed, pa.float64()), pa.array(inclusion, pa.float64())]
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         if digests:
-            columns += [pa.array(sizes), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([zlib.crc32(x.encode()) for x in decoded], pa.int64())]
+            columns += [pa.array(sizes), pa.array([zlib.crc32(x.astype("<u4", copy=False).data) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in decoded], pa.int64())]
         else:
             ends = np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
-            columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids]))), pa.array(decoded, pa.string())]
+            columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids]))), pa.array(decoded, pa.binary()).cast(pa.string())]
         taken = [c.take(pa.array(at, pa.int64())) for c in b.columns[:width]]
         return pa.RecordBatch.from_arrays([*taken, *columns], names=names)
 

@@ -361,7 +361,7 @@ def test_sampled_pieces_do_not_depend_on_their_batch():
     for i, t in enumerate(texts):
         assert [(a.tolist(), *rest) for a, *rest in got[i]] == m.sample(t, 4, i)
         for ids, *_ in got[i]:
-            assert m.decode(ids) == m.sp.decode(ids.tolist()) == m.sp.decode(m.sp.encode(t))
+            assert m.decode(ids).decode() == m.sp.decode(ids.tolist()) == m.sp.decode(m.sp.encode(t))
 
 
 def test_sampled_pieces_with_clashing_columns(spark):
