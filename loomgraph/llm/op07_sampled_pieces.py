@@ -47,11 +47,13 @@ from loomgraph.plans.storage import fresh, table
 MODEL, SAMPLES, SEED = "piece_bpe_32k.model", 4, 42
 SPACE = "▁"
 #: Arcs of lattices that a worker keeps; past it they are built anew.
-CACHE_ARCS = 4_000_000
+CACHE_ARCS = 8_000_000
 #: Characters sampled at a time, and words that take a step at once.
 GROUP_CHARS, GROUP_WORDS = 300_000, 200_000
 #: Bits of a code point in a key of the trie.
 _CODE_BITS = 21
+#: Bits of a place's number of arcs.
+_WIDTH_BITS, _WIDTH = 8, 255
 
 _STEP, _WORDS, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S30, _S27, _S31, _S11 = (np.uint64(x) for x in (30, 27, 31, 11))
@@ -98,8 +100,11 @@ def _aliases(shares: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = width.cumsum() - width
     rows = np.flatnonzero(width > 1)
     rows = rows[np.argsort(-width[rows], kind="stable")]
-    for lo in range(0, len(rows), GROUP_WORDS):
-        part = rows[lo : lo + GROUP_WORDS]
+    lo = 0
+    while lo < len(rows):
+        # Rows of one table have over half as many arcs as its first.
+        hi = min(lo + GROUP_WORDS, int(np.searchsorted(-width[rows], -(width[rows[lo]] // 2))))
+        part, lo = rows[lo:hi], hi
         w, at = width[part], first[part]
         slots = np.arange(int(w[0]))
         inside = slots < w[:, None]
@@ -218,26 +223,46 @@ class PieceModel:
         self._clear()
 
     def _number(self, pieces: dict[str, tuple[int, float]]) -> None:
-        """A trie in arrays: state s is the s-th key, a key is the state before and the letter."""
+        """A trie as a hash table: the state before and a letter give a slot with the state after."""
         held: list[tuple[int, str]] = []
         level = {"": 0}
         prefixes = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
-        # Keys grow with the state before, so numbering level by level keeps them in order.
         for n in range(1, max(map(len, pieces)) + 1):
             now = sorted((level[p[:-1]] << _CODE_BITS | ord(p[-1]), p) for p in prefixes if len(p) == n)
             level = {p: len(held) + i for i, (_, p) in enumerate(now, 1)}
             held += now
-        self.trie = np.array([k for k, _ in held], np.int64)
+        bits = len(held).bit_length() + 3
+        self.shift = np.uint64(64 - bits)
+        self.slot_key, self.slot_state = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        places = ((np.array([k for k, _ in held], np.uint64) * _STEP) >> self.shift).tolist()
+        for state, ((k, _), at) in enumerate(zip(held, places), 1):
+            while self.slot_key[at] >= 0:
+                at = (at + 1) & ((1 << bits) - 1)
+            self.slot_key[at], self.slot_state[at] = k, state
         self.piece_id = np.array([-1, *(pieces.get(p, (-1,))[0] for _, p in held)], np.int64)
         self.piece_weight = np.array([0.0, *(pieces[p][1] if p in pieces else 0.0 for _, p in held)])
 
+    def _step(self, key: np.ndarray) -> np.ndarray:
+        """The states that keys lead to, 0 for none."""
+        at = ((key.astype(np.uint64) * _STEP) >> self.shift).astype(np.int64)
+        held = self.slot_key[at]
+        state = np.where(held == key, self.slot_state[at], 0)
+        lost = np.flatnonzero((held != key) & (held >= 0))
+        while len(lost):
+            at[lost] = (at[lost] + 1) & (len(self.slot_key) - 1)
+            held = self.slot_key[at[lost]]
+            state[lost] = np.where(held == key[lost], self.slot_state[at[lost]], 0)
+            lost = lost[(held != key[lost]) & (held >= 0)]
+        return state
+
     def _clear(self) -> None:
         self.index = _Index()
         # of words: first place
         self.start = _Flat(np.int64)
-        # of places: first arc, number of arcs
-        self.first, self.width = _Flat(np.int32), _Flat(np.int32)
-        # of arcs: alias table, place after it (-1: word end), own place, log-share, first id and number of ids
+        # of places: first arc and number of arcs in one number
+        self.link = _Flat(np.int64)
+        # of arcs: alias table, place after it (-1: word end) and its link (0), own place, log-share, first id and number of ids
+        self.after = _Flat(np.int64)
         self.keep, self.alias, self.next, self.home, self.share = _Flat(np.float64), _Flat(np.int32), _Flat(np.int32), _Flat(np.int32), _Flat(np.float64)
         self.id_first, self.id_size, self.ids = _Flat(np.int32), _Flat(np.int32), _Flat(np.int32)
         self.ids.extend(np.arange(len(self.text)))
@@ -248,11 +273,11 @@ class PieceModel:
         place, places = int(self.words([word], normal=False)[0][0]), []
         while place >= 0:  # the first arc of a place is one letter long
             places.append(place)
-            place = int(self.next.data[self.first.data[place]])
+            place = int(self.next.data[self.link.data[place] >> _WIDTH_BITS])
         number = {-1: len(word)} | {p: i for i, p in enumerate(places)}
         out = []
         for p in places:
-            arcs, _ = self.siblings(int(self.first.data[p]), ())
+            arcs, _ = self.siblings(int(self.link.data[p] >> _WIDTH_BITS), ())
             out.append([(number[int(self.next.data[a])], tuple(self.ids_of(np.array([a])).tolist()), float(self.share.data[a])) for a in arcs])
         return out
 
@@ -260,15 +285,16 @@ class PieceModel:
         """Where the ids of a character outside the vocabulary are, and how many."""
         if code not in self.spelt:
             ids = [self.bytes[b] for b in chr(code).encode("utf-8", "replace")] if self.bytes else [self.unknown]
-            self.spelt[code] = (self.ids.n, len(ids))
-            self.ids.extend(np.array(ids))
+            self.spelt[code] = (ids[0] if len(ids) == 1 else self.ids.n, len(ids))
+            if len(ids) > 1:
+                self.ids.extend(np.array(ids))
         return self.spelt[code]
 
     def _learn(self, words: list[str]) -> None:
         """Append the lattices of words: one letter further along the pieces for all places at once."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         code = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-        n, base = len(code), self.first.n
+        n, base = len(code), self.link.n
         start = lengths.cumsum() - lengths
         dist = np.repeat(start + lengths, lengths) - np.arange(n)
         # Places are numbered by their distance from the ends of their words.
@@ -285,10 +311,9 @@ class PieceModel:
 
         at, state, span = np.arange(n), np.zeros(n, np.int64), 0
         while len(at):
-            key = (state << _CODE_BITS) | code[at + span]
-            slot = np.minimum(self.trie.searchsorted(key), len(self.trie) - 1)
-            hit = self.trie[slot] == key
-            at, state, span = at[hit], slot[hit] + 1, span + 1
+            state = self._step((state << _CODE_BITS) | code[at + span])
+            hit = state > 0
+            at, state, span = at[hit], state[hit], span + 1
             ids = self.piece_id[state]
             full = ids >= 0
             arcs_found(at[full], span, self.piece_weight[state[full]], ids[full], 1)
@@ -317,9 +342,10 @@ class PieceModel:
             share[arcs] = np.where(np.repeat(w, w) > 1, np.minimum(terms - np.repeat(mass[lo:hi], w), 0.0), 0.0)
         keep, other = _aliases(np.exp(share), widths)
         first += self.keep.n
+        link = np.append(first << _WIDTH_BITS | widths, 0)
         home = np.repeat(np.arange(n), widths)
         for to, new in (
-            (self.start, number[start] + base), (self.first, first), (self.width, widths), (self.keep, keep), (self.alias, first[home] + other),
+            (self.start, number[start] + base), (self.link, link[:-1]), (self.after, link[nexts]), (self.keep, keep), (self.alias, first[home] + other),
             (self.next, np.where(nexts < 0, -1, nexts + base)), (self.home, home + base), (self.share, share),
             (self.id_first, first_id), (self.id_size, sizes),
         ):
@@ -327,9 +353,9 @@ class PieceModel:
 
     def siblings(self, arc: int, gone: tuple[int, ...]) -> tuple[list[int], list[float]]:
         """The arcs at ``arc``'s place that are not in ``gone``, and their shares."""
-        place = self.home.data[arc]
-        lo = int(self.first.data[place])
-        open_ = [a for a in range(lo, lo + int(self.width.data[place])) if a not in gone]
+        link = int(self.link.data[self.home.data[arc]])
+        lo = link >> _WIDTH_BITS
+        open_ = [a for a in range(lo, lo + (link & _WIDTH)) if a not in gone]
         return open_, [exp(self.share.data[a]) for a in open_]
 
     def normal(self, text: str) -> str:
@@ -352,17 +378,17 @@ class PieceModel:
             return np.concatenate([a for a, _ in parts]), np.concatenate([n for _, n in parts])
         counts, taken = np.zeros(len(at), np.int64), []
         who = np.flatnonzero(at >= 0)
-        at, seeds = at[who], seeds[who]
+        at, seeds = self.link.data[at[who]], seeds[who]
         while len(who):
             seeds = seeds + _STEP
-            x = (_mixed(seeds) >> _S11).astype(np.float64) * 2.0**-53 * self.width.data[at]
-            slot = x.astype(np.int32)
-            arc = self.first.data[at] + slot
+            x = (_mixed(seeds) >> _S11).astype(np.float64) * 2.0**-53 * (at & _WIDTH)
+            slot = x.astype(np.int64)
+            arc = (at >> _WIDTH_BITS) + slot
             arc = np.where(x - slot < self.keep.data[arc], arc, self.alias.data[arc])
             taken.append((who, arc))
             counts[who] += 1
-            at = self.next.data[arc]
-            on = at >= 0
+            at = self.after.data[arc]
+            on = at > 0
             who, at, seeds = who[on], at[on], seeds[on]
         starts = counts.cumsum() - counts
         out = np.empty(int(counts.sum()), np.int32)
@@ -404,11 +430,12 @@ class PieceModel:
         return [(ids.tolist(), p, value, inclusion) for ids, p, value, inclusion in self.sample_all([text], k, [key])[0]]
 
     def ids_of(self, arcs: np.ndarray) -> np.ndarray:
-        first, sizes = self.id_first.data[arcs], self.id_size.data[arcs]
-        if len(arcs) and sizes.max() > 1:
-            ends = sizes.cumsum()
-            first = np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)
-        return self.ids.data[first]
+        first = self.id_first.data[arcs]
+        if not len(arcs) or first.max() < len(self.text):
+            return first  # one id each
+        sizes = self.id_size.data[arcs]
+        ends = sizes.cumsum()
+        return self.ids.data[np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the pieces, in UTF-8."""
