@@ -47,7 +47,7 @@ from loomgraph.plans.storage import fresh, table
 MODEL, SAMPLES, SEED = "piece_bpe_32k.model", 4, 42
 SPACE = "▁"
 #: Arcs of lattices that a worker keeps; past it they are built anew.
-CACHE_ARCS = 8_000_000
+CACHE_ARCS = 4_000_000
 #: Characters sampled at a time, and words that take a step at once.
 GROUP_CHARS, GROUP_WORDS = 300_000, 200_000
 #: Bits of a code point in a key of the trie.
@@ -56,6 +56,7 @@ _CODE_BITS = 21
 _WIDTH_BITS, _WIDTH = 8, 255
 
 _STEP, _WORDS, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_FACTOR = np.uint64(6364136223846793005)
 _S30, _S27, _S31, _S11 = (np.uint64(x) for x in (30, 27, 31, 11))
 
 
@@ -380,15 +381,17 @@ class PieceModel:
         who = np.flatnonzero(at >= 0)
         at, seeds = self.link.data[at[who]], seeds[who]
         while len(who):
-            seeds = seeds + _STEP
-            x = (_mixed(seeds) >> _S11).astype(np.float64) * 2.0**-53 * (at & _WIDTH)
+            seeds = seeds * _FACTOR + _STEP  # a linear congruential generator a word, from a mixed seed
+            x = (seeds >> _S11).astype(np.float64)
+            x *= 2.0**-53
+            x *= at & _WIDTH
             slot = x.astype(np.int64)
             arc = (at >> _WIDTH_BITS) + slot
             arc = np.where(x - slot < self.keep.data[arc], arc, self.alias.data[arc])
             taken.append((who, arc))
             counts[who] += 1
             at = self.after.data[arc]
-            on = at > 0
+            on = np.flatnonzero(at)
             who, at, seeds = who[on], at[on], seeds[on]
         starts = counts.cumsum() - counts
         out = np.empty(int(counts.sum()), np.int32)
