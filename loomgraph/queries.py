@@ -237,6 +237,33 @@ def _pagerank_sql() -> str:
     return base + f" SELECT id, round(r, 9) AS rank FROM r{_ROUNDS}"
 
 
+def _weighted_pagerank_sql(rounds: int) -> str:
+    out = f"WITH {E_SQL}, n AS (SELECT count(*)::DOUBLE AS n FROM part), d AS (SELECT src, sum(weight)::DOUBLE AS deg FROM e GROUP BY src), r0 AS (SELECT p_partkey AS id, coalesce(deg, 0) AS deg, 1 / n AS r FROM part LEFT JOIN d ON src = p_partkey, n)"
+    for i in range(rounds):
+        out += f", m{i} AS (SELECT dst, sum(r * weight / deg) AS m FROM e JOIN r{i} ON id = src GROUP BY dst), r{i + 1} AS MATERIALIZED (SELECT id, deg, (0.15 + 0.85 * (SELECT coalesce(sum(r), 0) FROM r{i} WHERE deg = 0)) / n + 0.85 * coalesce(m, 0) AS r FROM r{i} CROSS JOIN n LEFT JOIN m{i} ON dst = id)"
+    return out + f" SELECT id, round(r, 9) AS rank FROM r{rounds}"
+
+
+def _hits_sql(rounds: int) -> str:
+    out = f"WITH {E_SQL}, h0 AS (SELECT p_partkey AS id, 1.0::DOUBLE AS h, 0.0::DOUBLE AS a FROM part)"
+    for i in range(rounds):
+        out += f", x{i} AS MATERIALIZED (SELECT id, coalesce(s, 0) AS a FROM h{i} LEFT JOIN (SELECT dst, sum(h) AS s FROM e JOIN h{i} ON id = src GROUP BY dst) ON dst = id), a{i} AS MATERIALIZED (SELECT id, a / (SELECT sqrt(sum(a * a)) FROM x{i}) AS a FROM x{i})"
+        out += f", y{i} AS MATERIALIZED (SELECT id, a, coalesce(s, 0) AS h FROM a{i} LEFT JOIN (SELECT src, sum(a) AS s FROM e JOIN a{i} ON id = dst GROUP BY src) ON src = id), h{i + 1} AS MATERIALIZED (SELECT id, h / (SELECT sqrt(sum(h * h)) FROM y{i}) AS h, a FROM y{i})"
+    return out + f" SELECT id, round(a, 9) AS authority, round(h, 9) AS hub FROM h{rounds}"
+
+
+#: Rounds of the distance SQL; it gives no rows where the last of them still changes a distance.
+_DISTANCE_ROUNDS = 24
+
+
+def _distance_sql(roots: list[int]) -> str:
+    out = f"WITH {E_SQL}, f AS MATERIALIZED (SELECT src, dst, min(weight)::DOUBLE AS w FROM e GROUP BY src, dst), d0 AS (SELECT unnest({roots})::BIGINT AS id, 0.0::DOUBLE AS dist)"
+    for i in range(_DISTANCE_ROUNDS):
+        out += f", d{i + 1} AS MATERIALIZED (SELECT id, min(dist) AS dist FROM (SELECT * FROM d{i} UNION ALL SELECT dst, dist + w FROM d{i} JOIN f ON id = src) GROUP BY id)"
+    last = _DISTANCE_ROUNDS
+    return out + f" SELECT * FROM d{last} WHERE NOT EXISTS (SELECT * FROM d{last} EXCEPT SELECT * FROM d{last - 1})"
+
+
 def _lpa_sql(rounds: int) -> str:
     out = f"WITH {E_SQL}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), l0 AS (SELECT p_partkey AS id, p_partkey AS label FROM part)"
     for i in range(rounds):
@@ -262,10 +289,10 @@ J_SQL = "FROM p LEFT JOIN g x ON x.a = p.a LEFT JOIN g y ON y.a = p.b"
 ALGORITHMS: dict[str, tuple[Callable, str | None]] = {
     "algo_pagerank": (lambda s, d: _round(A.pagerank(part_ids(s, d), part_edges(s, d), _ROUNDS), "rank"), _pagerank_sql()),
     "algo_personalized_pagerank": (lambda s, d: _round(A.personalized_pagerank(part_ids(s, d), part_edges(s, d), 1, 3), "score"), None),
-    "algo_weighted_pagerank": (lambda s, d: _round(A.weighted_pagerank(part_ids(s, d), part_edges(s, d), 3), "rank"), None),
+    "algo_weighted_pagerank": (lambda s, d: _round(A.weighted_pagerank(part_ids(s, d), part_edges(s, d), 3), "rank"), _weighted_pagerank_sql(3)),
     "algo_trustrank": (lambda s, d: _round(A.trustrank(part_ids(s, d), part_edges(s, d), [1, 2, 3], 3), "score"), None),
     "algo_sybilrank": (lambda s, d: _round(A.sybilrank(part_ids(s, d), part_edges(s, d), [1, 2, 3]), "score"), None),
-    "algo_hits": (lambda s, d: A.hits(part_ids(s, d), part_edges(s, d), 3), None),
+    "algo_hits": (lambda s, d: _round(_round(A.hits(part_ids(s, d), part_edges(s, d), 3), "authority"), "hub"), _hits_sql(3)),
     "algo_wcc": (
         lambda s, d: A.wcc(part_ids(s, d), part_edges(s, d)),
         f"WITH RECURSIVE {U_SQL}, r AS (SELECT p_partkey AS id, (SELECT min(p_partkey) FROM part) AS m FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part) UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id) SELECT p_partkey AS id, coalesce(r.m, p_partkey) AS label FROM part LEFT JOIN r ON r.id = p_partkey",
@@ -275,8 +302,8 @@ ALGORITHMS: dict[str, tuple[Callable, str | None]] = {
         lambda s, d: A.bfs(part_edges(s, d), 1).select("id", "depth"),
         f"WITH RECURSIVE {E_SQL}, r AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < 8) SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY id",
     ),
-    "algo_sssp": (lambda s, d: A.sssp(part_edges(s, d), 1), None),
-    "algo_mssp": (lambda s, d: A.mssp(part_edges(s, d), [1, 2, 3]), None),
+    "algo_sssp": (lambda s, d: A.sssp(part_edges(s, d), 1), _distance_sql([1])),
+    "algo_mssp": (lambda s, d: A.mssp(part_edges(s, d), [1, 2, 3]), _distance_sql([1, 2, 3])),
     "algo_egonet": (lambda s, d: s.createDataFrame([(A.egonet(part_edges(s, d), 1, 1),)], "n long"), f"WITH {E_SQL} SELECT count(DISTINCT x) AS n FROM (SELECT dst AS x FROM e WHERE src = 1 UNION ALL SELECT 1)"),
     "algo_lpa": (lambda s, d: A.label_propagation(part_ids(s, d), part_edges(s, d).select("src", "dst"), 2), _lpa_sql(2)),
     "algo_wlpa": (lambda s, d: A.weighted_label_propagation(part_ids(s, d), part_edges(s, d), 2), None),
@@ -307,7 +334,10 @@ ALGORITHMS: dict[str, tuple[Callable, str | None]] = {
     ),
     "algo_motif": (lambda s, d: A.motif(part_edges(s, d), [1, 2, 3], 3), None),
     "algo_mis": (lambda s, d: A.maximal_independent_set(part_ids(s, d), part_edges(s, d)), None),
-    "algo_spsp": (lambda s, d: s.createDataFrame([(A.spsp(part_edges(s, d), 1, 2),)], "hops long"), None),
+    "algo_spsp": (
+        lambda s, d: s.createDataFrame([(A.spsp(part_edges(s, d), 1, 2),)], "hops long"),
+        f"WITH RECURSIVE {E_SQL}, r AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < 20) SELECT CAST(coalesce(min(depth), -1) AS BIGINT) AS hops FROM r WHERE id = 2",
+    ),
     "algo_all_shortest_paths": (lambda s, d: A.all_shortest_paths(part_edges(s, d), 1, 2).select(F.size("nodes").alias("n"), "cost"), None),
     "algo_closeness": (
         lambda s, d: _round(A.closeness(part_edges(s, d).drop("weight"), [1, 2]), "score"),
