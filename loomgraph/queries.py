@@ -54,7 +54,7 @@ def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that follow each other in an order, with the first one's quantity."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", F.lead("l_partkey").over(w).alias("dst"))
     return li.where("dst is not null").select(F.col("l_partkey").alias("src"), "dst", F.col("l_quantity").alias("weight"))
 
@@ -64,7 +64,7 @@ def part_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same tables in SQL.
-E_SQL = "e AS (SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_quantity AS weight FROM lineitem) WHERE dst IS NOT NULL)"
+E_SQL = "e AS (SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS dst, l_quantity AS weight FROM lineitem) WHERE dst IS NOT NULL)"
 U_SQL = E_SQL + ", u AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e) WHERE a <> b)"
 S_SQL = "s AS (SELECT user_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS r FROM events) WHERE r = 1)"
 
