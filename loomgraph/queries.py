@@ -244,6 +244,15 @@ def _weighted_pagerank_sql(rounds: int) -> str:
     return out + f" SELECT id, round(r, 9) AS rank FROM r{rounds}"
 
 
+def _seeded_sql(seeds: str, rounds: int, start: float, teleport: float, keep: float, pick: str) -> str:
+    """Scores that start at and return to ``seeds``; ``pick`` says which round's are asked for."""
+    out = f"WITH {E_SQL}, d AS (SELECT src, count(*) AS deg FROM e GROUP BY src), r0 AS MATERIALIZED (SELECT p_partkey AS id, coalesce(deg, 0) AS deg, CASE WHEN p_partkey IN ({seeds}) THEN {start} ELSE 0 END::DOUBLE AS r FROM part LEFT JOIN d ON src = p_partkey)"
+    for i in range(rounds):
+        out += f", r{i + 1} AS MATERIALIZED (SELECT id, deg, {keep} * coalesce(m, 0) + CASE WHEN id IN ({seeds}) THEN {teleport} ELSE 0 END::DOUBLE AS r FROM r{i} LEFT JOIN (SELECT dst, sum(r / deg) AS m FROM e JOIN r{i} ON id = src GROUP BY dst) ON dst = id)"
+    every = " UNION ALL ".join(f"SELECT {i} AS i, id, r FROM r{i}" for i in range(rounds + 1))
+    return out + f" SELECT id, round(r, 9) AS score FROM ({every}) WHERE i = {pick}"
+
+
 def _hits_sql(rounds: int) -> str:
     out = f"WITH {E_SQL}, h0 AS (SELECT p_partkey AS id, 1.0::DOUBLE AS h, 0.0::DOUBLE AS a FROM part)"
     for i in range(rounds):
@@ -288,10 +297,10 @@ J_SQL = "FROM p LEFT JOIN g x ON x.a = p.a LEFT JOIN g y ON y.a = p.b"
 #: Name: (function of ids and edges, SQL or None).
 ALGORITHMS: dict[str, tuple[Callable, str | None]] = {
     "algo_pagerank": (lambda s, d: _round(A.pagerank(part_ids(s, d), part_edges(s, d), _ROUNDS), "rank"), _pagerank_sql()),
-    "algo_personalized_pagerank": (lambda s, d: _round(A.personalized_pagerank(part_ids(s, d), part_edges(s, d), 1, 3), "score"), None),
+    "algo_personalized_pagerank": (lambda s, d: _round(A.personalized_pagerank(part_ids(s, d), part_edges(s, d), 1, 3), "score"), _seeded_sql("1", 3, 1, 0.15, 0.85, "3") + " AND 1 IN (SELECT src FROM e)"),
     "algo_weighted_pagerank": (lambda s, d: _round(A.weighted_pagerank(part_ids(s, d), part_edges(s, d), 3), "rank"), _weighted_pagerank_sql(3)),
-    "algo_trustrank": (lambda s, d: _round(A.trustrank(part_ids(s, d), part_edges(s, d), [1, 2, 3], 3), "score"), None),
-    "algo_sybilrank": (lambda s, d: _round(A.sybilrank(part_ids(s, d), part_edges(s, d), [1, 2, 3]), "score"), None),
+    "algo_trustrank": (lambda s, d: _round(A.trustrank(part_ids(s, d), part_edges(s, d), [1, 2, 3], 3), "score"), _seeded_sql("1, 2, 3", 3, 1 / 3, 0.05, 0.85, "3")),
+    "algo_sybilrank": (lambda s, d: _round(A.sybilrank(part_ids(s, d), part_edges(s, d), [1, 2, 3]), "score"), _seeded_sql("1, 2, 3", 16, 1, 0, 1, "(SELECT ceil(ln(count(*))) FROM part)")),
     "algo_hits": (lambda s, d: _round(_round(A.hits(part_ids(s, d), part_edges(s, d), 3), "authority"), "hub"), _hits_sql(3)),
     "algo_wcc": (
         lambda s, d: A.wcc(part_ids(s, d), part_edges(s, d)),
@@ -338,7 +347,12 @@ ALGORITHMS: dict[str, tuple[Callable, str | None]] = {
         lambda s, d: s.createDataFrame([(A.spsp(part_edges(s, d), 1, 2),)], "hops long"),
         f"WITH RECURSIVE {E_SQL}, r AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < 20) SELECT CAST(coalesce(min(depth), -1) AS BIGINT) AS hops FROM r WHERE id = 2",
     ),
-    "algo_all_shortest_paths": (lambda s, d: A.all_shortest_paths(part_edges(s, d), 1, 2).select(F.size("nodes").alias("n"), "cost"), None),
+    "algo_all_shortest_paths": (
+        lambda s, d: A.all_shortest_paths(part_edges(s, d), 1, 2).select(F.size("nodes").alias("n"), "cost"),
+        f"WITH RECURSIVE {E_SQL}, r AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < 20), l AS (SELECT id, min(depth) AS d FROM r GROUP BY id), "
+        "p AS (SELECT id, d FROM l WHERE id = 2 UNION ALL SELECT e.src, p.d - 1 FROM p JOIN e ON e.dst = p.id JOIN l ON l.id = e.src AND l.d = p.d - 1) "
+        "SELECT CAST(m + 1 AS INTEGER) AS n, m::DOUBLE AS cost FROM p, (SELECT d AS m FROM l WHERE id = 2) WHERE p.d = 0",
+    ),
     "algo_closeness": (
         lambda s, d: _round(A.closeness(part_edges(s, d).drop("weight"), [1, 2]), "score"),
         f"WITH RECURSIVE {E_SQL}, f AS (SELECT DISTINCT src, dst FROM e), r AS (SELECT unnest([1, 2])::BIGINT AS root, unnest([1, 2])::BIGINT AS id, 0 AS depth UNION SELECT root, src, depth + 1 FROM r JOIN f ON dst = id WHERE depth < 20), d AS (SELECT root, id, min(depth) AS dist FROM r GROUP BY root, id) SELECT id, round(count(*) / sum(dist)::DOUBLE, 9) AS score FROM d WHERE root <> id GROUP BY id",
