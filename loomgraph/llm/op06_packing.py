@@ -21,7 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,10 +126,10 @@ def pack_documents(
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<int>" * ids
     loss = F.lit(None) if loss is None else F.col(loss) if isinstance(loss, str) else loss
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from loomgraph.llm.tokens import encoder
+        from loomgraph.llm.tokens import encoder, slices
 
         held: dict[int, tuple[int | None, np.ndarray]] = {}
         left: dict[int, int] = {}
@@ -137,15 +137,13 @@ def pack_documents(
 
         def documents() -> Iterator[tuple[int, int, int]]:
             k = 0
-            for b in batches:
-                keys, texts, bears = b["k"].astype(object).tolist(), b["t"].tolist(), b["l"].astype(object).tolist()
-                for i in range(0, len(keys), 500):
-                    found, at = encoder(tokenizer, False).encode(texts[i : i + 500])
-                    for j, name in enumerate(keys[i : i + 500]):
-                        own = np.append(found[at[j] : at[j + 1]], np.uint32(end_id))
-                        held[k], left[k] = (None if pd.isna(name) else int(name), own), len(own)
-                        yield k, len(own), len(own) if pd.isna(bears[i + j]) else min(max(int(bears[i + j]), 0), len(own))
-                        k += 1
+            for keys, texts, bears in slices(batches):
+                found, at = encoder(tokenizer, False).encode(texts)
+                for j, name in enumerate(keys):
+                    own = np.append(found[at[j] : at[j + 1]], np.uint32(end_id))
+                    held[k], left[k] = (name, own), len(own)
+                    yield k, len(own), len(own) if bears[j] is None else min(max(bears[j], 0), len(own))
+                    k += 1
 
         first = TaskContext.get().partitionId() << 40
         for n, pieces in enumerate(pack(documents(), limits)):
@@ -159,17 +157,18 @@ def pack_documents(
                 if not left[d]:
                     del held[d], left[d]
             if len(rows) >= (1_000 if ids else 10_000):
-                yield _frame(rows, schema)
+                yield _batch(rows, schema)
                 rows = []
         if rows:
-            yield _frame(rows, schema)
+            yield _batch(rows, schema)
 
-    return docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("t"), loss.cast("long").alias("l")).mapInPandas(place, schema)
+    return docs.select(F.col(key).cast("long").alias("k"), text_of(text).alias("t"), loss.cast("long").alias("l")).mapInArrow(place, schema)
 
 
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-    return out.astype({"doc_id": "Int64"})
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    kind = {"long": pa.int64(), "array<int>": pa.list_(pa.int32())}
+    return pa.RecordBatch.from_arrays([pa.array(c, kind[t]) for c, t in zip(zip(*rows), kinds)], names=list(names))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-#: Entries that one worker keeps; past it the cache starts anew.
-CACHE_ENTRIES = 1_000_000
+#: Entries that one worker keeps (some 60 MB); past it the cache starts anew.
+CACHE_ENTRIES = 400_000
 #: Characters encoded at a time.
 GROUP_CHARS = 1_000_000
 
@@ -37,6 +39,13 @@ def _regular(text: str) -> bool:
     return "\u0130" not in text and unicodedata.is_normalized("NFC", text) and all(c.isalpha() or not c.isalnum() or c.isdecimal() for c in set(text))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[list, ...]]:
+    """The columns of a few rows at a time, so that no batch is held as Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield tuple(c.slice(i, rows).to_pylist() for c in b.columns)
+
+
 def encoder(name: str, spaced: bool) -> "WordEncoder":
     """The worker's encoder for one tokenizer file of ``public_tokenizers``.
 
@@ -73,7 +82,14 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.spaced = spaced
         self.cut = (_SPACED if spaced else _PLAIN).findall
+        # In joined words: the ids that stand between words, or that end a run that the file cuts.
+        self.marks = np.zeros(max(self.tokenizer.get_vocab(True).values()) + 1, bool)
+        if spaced:
+            self.marks[self._library(["\n"])[0]] = True
+        else:
+            self.marks[[n for w, n in self.tokenizer.get_vocab(True).items() if w.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -87,17 +103,41 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words that the file does not cut across: encoded as lines of one text, which is cheaper than one by one."""
+        if not any(map(str.isspace, words)):
+            ids = np.array(self._library(["\n".join(words)])[0], np.uint32)
+            ends = np.flatnonzero(self.marks[ids])
+            if self.spaced and len(ends) == len(words) - 1:
+                return ids[~self.marks[ids]], np.diff(ends, prepend=-1, append=len(ids)) - 1
+            if not self.spaced:
+                runs = np.cumsum([len(w) if w[0].isdecimal() else 1 for w in words])  # digits are cut one by one
+                if len(ends) == runs[-1] and ends[-1] == len(ids) - 1:
+                    return ids, np.diff(ends[runs - 1], prepend=-1)
         encoded = self._library(words)
-        n, k = sum(map(len, encoded)), self.known
+        sizes = np.fromiter(map(len, encoded), np.int64, len(words))
+        return np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, words: list[str]) -> None:
+        parts = [w for w in words if not w.isspace()], [w for w in words if w.isspace()]
+        if self.spaced and all(parts):  # white space would join the line ends
+            own = np.fromiter(map(str.isspace, words), bool, len(words))
+            (a, na), (b, nb) = map(self._ids, parts)
+            sizes = np.empty(len(words), np.int64)
+            sizes[~own], sizes[own] = na, nb
+            of = np.repeat(own, sizes)
+            ids = np.empty(len(of), np.uint32)
+            ids[~of], ids[of] = a, b
+        else:
+            ids, sizes = self._ids(words)
+        n, k = len(ids), self.known
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while k + len(words) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        sizes = np.fromiter(map(len, encoded), np.int64, len(words))
         self.sizes[k : k + len(words)] = sizes
         self.starts[k : k + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(encoded), np.uint32, n)
+        self.flat[self.used : self.used + n] = ids
         self.used += n
         self.known += len(words)
         self.index.new = []

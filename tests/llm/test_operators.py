@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from loomgraph.llm import op07_sampled_pieces as pieces
 from loomgraph.llm import op08_gam_classifier as gam
 from loomgraph.llm import op09_language_id as language
 from loomgraph.llm import op10_simhash as simhash
-from loomgraph.llm.tokens import encoder
+from loomgraph.llm.tokens import WordEncoder, encoder, slices
 from loomgraph.plans.storage import new_path
 
 random.seed(5)
@@ -192,6 +193,27 @@ def test_sharding(spark, docs):
 
 
 # -- 5 and 6 -------------------------------------------------------------------
+def test_encoder_learns_words_together():
+    words = ["the", " cat", "'s", "42", " 7", "é", "__", "\n", "\n \t", "ﬁ", " 東京", "☃"]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        e, calls = WordEncoder(name, spaced), []
+        library = e._library
+        e._library = lambda texts: calls.append(len(texts)) or library(texts)
+        own = [w for w in words if spaced or not w.isspace()]
+        if not spaced:
+            own = [w.strip() for w in own]
+        e._learn(own)
+        want = library(own)
+        assert [e.flat[a : a + n].tolist() for a, n in zip(e.starts, e.sizes[: len(own)])] == want
+        assert calls == ([1, 2] if spaced else [1])  # white space alone goes word by word
+
+
+def test_slices_hold_few_texts():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1201)), pa.array(["a"] * 1201)], names=["k", "t"])
+    got = list(slices(iter([batch, batch])))
+    assert max(len(k) for k, _ in got) == 500 and [x for k, _ in got for x in k] == [*range(1201)] * 2
+
+
 def test_encoder_equals_library():
     for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         e = encoder(name, spaced)
