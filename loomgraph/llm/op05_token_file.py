@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,25 +137,23 @@ def read_documents(data: bytes, wanted: set[int]) -> dict[int, list[np.ndarray]]
 def write(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
     """Encode ``docs`` in ascending order of ``key`` into files in ``path``; file names sort like ids."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from loomgraph.llm.tokens import encoder
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from loomgraph.llm.tokens import encoder, slices
 
         def documents() -> Iterator[tuple[int, np.ndarray]]:
-            for b in batches:
-                keys, texts = b["k"].tolist(), b["t"].tolist()
-                for i in range(0, len(keys), 500):
-                    ids, at = encoder(tokenizer, True).encode(texts[i : i + 500])
-                    for j, key_ in enumerate(keys[i : i + 500]):
-                        yield key_, np.append(ids[at[j] : at[j + 1]], np.uint32(end_id))
+            for keys, texts in slices(batches):
+                ids, at = encoder(tokenizer, True).encode(texts)
+                for j, key_ in enumerate(keys):
+                    yield key_, np.append(ids[at[j] : at[j + 1]], np.uint32(end_id))
 
         for row in pack_file(documents()):
-            yield pd.DataFrame({"value": [row]})
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["value"])
 
     own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), text_of(text).alias("t"))
     size = own.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     files = max(1, -(-size // FILE_BYTES), own.sparkSession.sparkContext.defaultParallelism)
     ordered = own.repartitionByRange(int(files), "k").sortWithinPartitions("k", "t")
-    rows = ordered.mapInPandas(encode, "value binary")
+    rows = ordered.mapInArrow(encode, "value binary")
     rows.select(F.col("value").cast("string")).write.option("lineSep", "\x8f").option("encoding", "ISO-8859-1").text(path)
 
 
