@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 from itertools import permutations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.communities import VERTICES, levels_of
 from loomgraph.operators.components import components
 from loomgraph.plans.storage import materialise
 
@@ -354,6 +356,25 @@ def speaker_listener(ids: DataFrame, edges: DataFrame, iterations: int = 10, thr
     return ids.join(kept.groupBy("id").agg(F.sort_array(F.collect_list("label")).alias("labels")), "id", "left").select("id", F.coalesce("labels", F.array().cast("array<long>")).alias("labels"))
 
 
+def _louvain_at_hand(ids: DataFrame, e: DataFrame, resolution: float, levels: int, rounds: int, refine: bool) -> DataFrame | None:
+    """``louvain`` over edges between whole numbers, if the vertices are few enough to hold their labels."""
+    kinds = dict(e.dtypes)
+    if {kinds["src"], kinds["dst"]} - {"int", "bigint"} or kinds["weight"] not in ("int", "bigint", "float", "double"):
+        return None
+    e = e.select(F.col("src").cast("long"), F.col("dst").cast("long"), "weight").where("src is not null and dst is not null")
+    both = both_ways(e)  # a loop comes twice, as it counts
+    k = materialise(both.groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight").cast("double")).alias("k")), "louvain-k")
+    n, m2 = k.agg(F.count("*"), F.sum("k")).first()
+    odd = F.col("weight").isNull() | ~(F.abs(F.col("weight").cast("double")) < float("inf"))
+    if not n or n > VERTICES or not m2 or not math.isfinite(m2) or e.where(odd).limit(1).count():
+        return None
+    names, weights = (c.to_numpy() for c in k.orderBy("id").toArrow().columns)
+    labels = levels_of(e, names, weights, m2, resolution, levels, rounds, refine)
+    rows = ids.sparkSession.createDataFrame(pa.table({"name": names, "label": labels}))
+    own = F.coalesce(F.col("label"), F.col("id")).cast(ids.schema["id"].dataType)
+    return materialise(ids.select("id").join(rows, F.col("id") == F.col("name"), "left").select("id", own.alias("label")), "louvain-labels")
+
+
 def louvain(ids: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 10, rounds: int = 10, refine: bool = False) -> DataFrame:
     """(id, label): greedy modularity moves, then coarsening, until nothing moves.
 
@@ -362,6 +383,8 @@ def louvain(ids: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: i
     larger ones in odd rounds, so that two vertices never swap for ever.
     """
     e = materialise(_weighted(edges).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "louvain")
+    if (found := _louvain_at_hand(ids, e, resolution, levels, rounds, refine)) is not None:
+        return found
     total = materialise(ids.select("id", F.col("id").alias("label")), "louvain-labels")
     for _ in range(levels):
         both = materialise(both_ways(e.where("src <> dst")).union(e.where("src = dst").select("src", "dst", F.col("weight") * 2)), "louvain-both")

@@ -198,6 +198,21 @@ def test_procedures(spark):
         g.cypher("CALL no.such() YIELD x RETURN x")
 
 
+def test_communities_at_hand_equal_joins(spark, monkeypatch):
+    from loomgraph.operators import communities as C
+
+    rows = [((7 * i * i + 3 * i) % 40, (5 * i + i // 9) % 40, float(i % 5 + 1)) for i in range(130)] + [(3, 3, 2.0)]
+    e, n = spark.createDataFrame(rows, "src long, dst long, weight double"), ids(spark, 42)
+    for f in (A.louvain, lambda i, e: A.leiden(i, e, 1.0)):
+        got = []
+        for vertices, local in ((0, 0), (1000, 1000), (1000, 0)):  # by joins, in one block, in blocks of 50 edges
+            monkeypatch.setattr(A, "VERTICES", vertices)
+            monkeypatch.setattr(C, "LOCAL_EDGES", local)
+            monkeypatch.setattr(C, "BLOCK_EDGES", 50)
+            got.append(as_dict(f(n, e)))
+        assert got[0] == got[1] == got[2] and len(got[0]) == 42
+
+
 def test_empty_graph(spark):
     with pytest.raises(SchemaError):
         Graph.empty().all_vertices()
