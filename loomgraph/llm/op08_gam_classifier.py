@@ -4,8 +4,8 @@ Every feature is cut into quantile bins. Boosting goes round the features in
 turn; each step fits a shallow tree over one feature's bins to the residuals
 and adds it, shrunken, to that feature's lookup table. Then the pairs of
 features whose joint bins explain most of what is left get two-way tables in
-the same manner. A score adds one number per table, so whole Arrow batches are
-scored by array lookups.
+the same manner. A score adds one number per table by array lookups in
+DataFrame expressions: scoring needs no Python worker and copies no text.
 
 The fit takes at most ``FIT_ROWS`` labelled documents, those with the smallest
 hash of their id (an id that is null is never learned from); features and scores cover every document. Only counts taken
@@ -18,16 +18,14 @@ get a score; a document with several labels counts as their minimum.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.textstats import stats, text_of
-from loomgraph.plans.storage import fresh, materialise, table
+from loomgraph.llm.textstats import let, stats, text_of
+from loomgraph.plans.storage import materialise, table
 
 FIT_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -190,20 +188,21 @@ def train(counted: DataFrame, truth: DataFrame, key: str = "doc_id") -> Model:
     return fit(rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy(float))
 
 
-def scored(df: DataFrame, s: str, model: Model, name: str, least: float | None = None) -> DataFrame:
-    """``df`` with its struct of counts ``s`` replaced by the score ``name``; only
-    rows that reach ``least``, if given. Other columns pass through Arrow untouched."""
-    kept = [c for c in df.columns if c != s]
-    own = [f"{s}_{x}" for x in FEATURES]
-    schema = df.select(*kept, F.lit(0.0).alias(name)).schema
+def score_of(s: Column, model: Model) -> Column:
+    """The model's score of a struct of counts, by array lookups."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = model.score(np.column_stack([b.column(len(kept) + i).to_numpy(zero_copy_only=False) for i in range(len(own))]))
-            out = pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(values)], names=schema.names)
-            yield out if least is None else out.filter(pa.array(values >= least))
+    def bins(x: Column, edges: np.ndarray) -> Column:
+        return F.size(F.filter(F.lit(edges), lambda e: e < x)) if len(edges) else F.lit(0)
 
-    return df.select(*kept, *(f.alias(n) for f, n in zip(features(F.col(s)), own))).mapInArrow(run, schema)
+    def total(x: Column) -> Column:
+        z = F.lit(float(model.base))
+        for j, (e, t) in enumerate(zip(model.edges, model.tables)):
+            z = z + F.get(F.lit(t), bins(F.get(x, F.lit(j)), e))
+        for a, b, ea, eb, t in model.pairs:
+            z = z + F.get(F.lit(t.ravel()), bins(F.get(x, F.lit(a)), ea) * t.shape[1] + bins(F.get(x, F.lit(b)), eb))
+        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+
+    return let(F.array(*features(s)), total)
 
 
 def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", cutoff: float = CUTOFF, learn_from: DataFrame | None = None) -> DataFrame:
@@ -218,8 +217,7 @@ def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc
     truth = materialise(some(materialise(truth, "gam-truth"), F.col(key)), "gam-sample")
     # Some 24,000 ids at most: only their texts are counted, and no text is shuffled.
     model = train(source.join(F.broadcast(truth.select(key)), key, "left_semi").select(key, stats(text_of(text)).alias("s")), truth, key)
-    s, score = fresh("s", docs), fresh("score", docs)
-    return scored(docs.withColumn(s, stats(text_of(text))), s, model, score, cutoff).drop(score)
+    return docs.where(let(stats(text_of(text)), lambda s: score_of(s, model) >= cutoff))
 
 
 def op8_gam_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,5 +225,5 @@ def op8_gam_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = materialise(docs, "gam-counts")
     truth = materialise(labelled(table(spark, sf_dir, "labels")).join(counted.select("doc_id").distinct(), "doc_id", "left_semi"), "gam-truth")
     model = train(counted, some(truth, F.col("doc_id")))
-    found = scored(counted.withColumn("held_out", ~learnable(F.col("doc_id"))), "s", model, "score")
+    found = counted.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), score_of(F.col("s"), model).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))

@@ -417,6 +417,20 @@ def test_gam_learns_an_interaction():
     assert gam.fit(x, np.ones(len(x))).score(x[:1])[0] > 0.9
 
 
+def test_gam_scores_without_python_workers(spark, docs):
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, len(gam.FEATURES))) * [400, 10, 0.1, 0.2, 20, 1, 1]
+    m = gam.fit(x, ((x[:, 0] > 200) ^ (x[:, 1] > 5)).astype(float))
+    s = docs.select(gam.stats(gam.text_of("text")).alias("s"))
+    got = s.select(*gam.features(F.col("s")), gam.score_of(F.col("s"), m).alias("score")).toPandas()
+    assert m.pairs and np.allclose(got["score"], m.score(got[list(gam.FEATURES)].to_numpy(float)), rtol=1e-12, atol=0)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    kept = gam.keep(docs, labels)
+    assert "Arrow" not in kept._jdf.queryExecution().toString() and kept.columns == docs.columns
+    one = gam.fit(x, np.ones(len(x)))  # one label: tables without cuts
+    assert s.select(gam.score_of(F.col("s"), one).alias("score")).where("score < 0.99").count() == 0
+
+
 def test_gam_on_documents(spark, docs):
     bad = [(1000 + i, "BAD!! | " * 40, "en", "s", 0) for i in range(60)]
     good = [(2000 + i, " ".join(random.choice(WORDS) for _ in range(80)), "en", "s", 0) for i in range(60)]
