@@ -4,7 +4,8 @@ The ``tokenizers`` library encodes one word at a time and most words of a
 corpus repeat, so each Python worker keeps the ids of the words it has seen.
 Both supported files cut a text into runs of letters, digits, other signs and
 white space before they merge anything, hence the ids of a text are the ids of
-those runs in order. A text with characters that Python and the library class
+those runs in order. New runs of Latin letters go straight to the merges of the
+library's model, others through all of it. A text with characters that Python and the library class
 differently goes to the library whole.
 """
 
@@ -12,8 +13,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ GROUP_CHARS = 1_000_000
 _SPACED = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[^\W\d_]+|\d+|(?:[^\s\w]|_)+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Byte-level files write bytes without a sign as letters from 256 on; line ends stand between words here.
+_LETTERS = {c: 256 + i for i, c in enumerate([*range(33), *range(127, 161), 173]) if c != 10}
 _ENCODERS: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
@@ -70,6 +73,20 @@ class _Index(dict):
         return n
 
 
+def _either(words: list[str], test: list[bool], yes: Callable, no: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes) of all words, by ``yes`` where the test holds and by ``no`` elsewhere."""
+    if all(test) or not any(test):
+        return (yes if all(test) else no)(words)
+    own = np.array(test)
+    (a, na), (b, nb) = yes(list(compress(words, test))), no(list(compress(words, ~own)))
+    sizes = np.empty(len(words), np.int64)
+    sizes[own], sizes[~own] = na, nb
+    of = np.repeat(own, sizes)
+    ids = np.empty(len(of), np.uint32)
+    ids[of], ids[~of] = a, b
+    return ids, sizes
+
+
 class WordEncoder:
     """``encode(texts)`` gives (ids uint32, offsets int64) of all texts joined."""
 
@@ -84,6 +101,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = spaced
         self.cut = (_SPACED if spaced else _PLAIN).findall
+        self.merge = self.tokenizer.model.tokenize
         # In joined words: the ids that stand between words, or that end a run that the file cuts.
         self.marks = np.zeros(max(self.tokenizer.get_vocab(True).values()) + 1, bool)
         if spaced:
@@ -118,18 +136,30 @@ class WordEncoder:
         sizes = np.fromiter(map(len, encoded), np.int64, len(words))
         return np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum())), sizes
 
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of plain words: straight to the library's merges, past its cutting, which costs more."""
+        text = "\n".join(words)
+        if not self.spaced:
+            text = text.lower()
+        ids, sizes = [], []
+        for word in text.encode().decode("latin-1").translate(_LETTERS).split("\n"):
+            found = self.merge(word)
+            sizes.append(len(found))
+            ids += [t.id for t in found]
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+
+    def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.spaced:  # white space would join the line ends
+            return _either(words, [not w.isspace() for w in words], self._ids, self._ids)
+        return self._ids(words)
+
     def _learn(self, words: list[str]) -> None:
-        parts = [w for w in words if not w.isspace()], [w for w in words if w.isspace()]
-        if self.spaced and all(parts):  # white space would join the line ends
-            own = np.fromiter(map(str.isspace, words), bool, len(words))
-            (a, na), (b, nb) = map(self._ids, parts)
-            sizes = np.empty(len(words), np.int64)
-            sizes[~own], sizes[own] = na, nb
-            of = np.repeat(own, sizes)
-            ids = np.empty(len(of), np.uint32)
-            ids[~of], ids[of] = a, b
+        # Plain: Latin words that the file hands to its merges as one piece.
+        if self.spaced:
+            plain = [(w.isascii() or max(w) < "\u0100") and not w.isspace() for w in words]
         else:
-            ids, sizes = self._ids(words)
+            plain = [(w.isascii() or max(w) < "\u0100") and not w[0].isdecimal() for w in words]
+        ids, sizes = _either(words, plain, self._merged, self._cut)
         n, k = len(ids), self.known
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])

@@ -208,6 +208,21 @@ def test_encoder_learns_words_together():
         assert calls == ([1, 2] if spaced else [1])  # white space alone goes word by word
 
 
+def test_encoder_merges_latin_words_directly():
+    signs = "".join(map(chr, range(256)))
+    texts = [signs, signs.lower() * 2, "THE The the I'M i'm 12 x12 12x \x00a \x7f <|endoftext|> " + "ab" * 2000, "\x01\x02 \x03", "a\x00b"]
+    texts += ["".join(random.choice(signs[:28] + signs[32:178] + signs[180:185] + signs[186:188] + signs[191:]) for _ in range(40)) for _ in range(300)]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        e, calls = WordEncoder(name, spaced), []
+        library = e._library
+        e._library = lambda texts: calls.append(texts) or library(texts)
+        e._learn(["the", "Cat", "'s", "__", "ÉTÉ", "weiß"])
+        assert not calls  # no cutting by the library
+        e = WordEncoder(name, spaced)
+        ids, at = e.encode(texts)
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == library(texts)
+
+
 def test_slices_hold_few_texts():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1201)), pa.array(["a"] * 1201)], names=["k", "t"])
     got = list(slices(iter([batch, batch])))
